@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are worked on in slices of about so many bytes, however many rows Arrow puts in a batch.
 SLICE_BYTES = 1 << 20
-#: Entries a worker's word memo may hold before its older half is forgotten.
-MEMO_WORDS = 400_000
 
 _own_scratch: str | None = None
 
@@ -38,10 +38,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes ``df`` with zstd, and lets go of the shuffle files of that job, which the table replaces."""
+    with settings(df.sparkSession, {CLEANUP: "true"}):
+        df.write.option("compression", "zstd").parquet(path)
+
+
+#: Spark's switch to remove a query's shuffle files at its end; older versions ignore it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with ``values`` set for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -87,31 +113,6 @@ def binaries(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-class Memo(dict):
-    """Remembers ``make(key)``; holds at most twice ``limit`` entries, the oldest go first."""
-
-    def __init__(self, make, limit: int = MEMO_WORDS):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def trim(self) -> None:
-        """To be called between documents."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -141,3 +142,84 @@ def counts_between(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How often ``mask`` holds between each two offsets."""
     sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def add_columns(docs: DataFrame, text_col: str, compute: Callable[[pa.Array], list], fields: str, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the columns of ``fields`` (DDL), which ``compute`` makes from the texts of a slice.
+
+    ``keep`` names the columns that pass (all by default); a column named like a new one gives way to it.
+    """
+    new = T._parse_datatype_string(fields)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    packed = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                arrays = [a if isinstance(a, pa.Array) else pa.array(a) for a in compute(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["row", *new.names])
+
+    done = packed.mapInArrow(run, T.StructType([packed.schema["row"], *new.fields]))
+    return done.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col(c) for c in new.names])
+
+
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of_step(n: int) -> list[np.ndarray]:
+    """The powers of _STEP and of its inverse modulo 2**64, at least n of each."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((int(_STEP), pow(int(_STEP), -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+class Spans:
+    """64-bit hashes of any spans of some bytes, each in constant time after one pass."""
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _powers_of_step(len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(mix64(np.arange(1, 257, dtype=np.uint64))[raw] * up[: len(raw)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Equal for equal spans; starts and ends are places in the bytes."""
+        return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def runs_of(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs where ``mask`` holds; a run ends where a text does."""
+    if not len(mask):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before, after = np.zeros(len(mask), bool), np.zeros(len(mask), bool)
+    before[1:], after[:-1] = mask[:-1], mask[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(mask))]
+    before[inner], after[inner - 1] = False, False
+    return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each text, and where each text's words begin among them."""
+    starts, ends = runs_of(~_SPACES[raw], offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def running_totals(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over all rows of a smaller ``key`` (ties by ``value``), without one global window.
+
+    Rows are dealt by ranges of the key; each range's total and its place among the ranges come from a table of one
+    row a range, and only rows of one range meet in a window.
+    """
+    parts = partitions(df.sparkSession)
+    ranged = written(df.repartitionByRange(parts, key).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__range").agg(F.sum(value).alias("__total"))
+    before = totals.select("__range", (F.sum("__total").over(Window.orderBy("__range")) - F.col("__total")).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(key, value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return placed.join(F.broadcast(before), "__range").withColumn(out, (F.col("__before") + F.col("__inside")).cast("long")).drop("__range", "__before", "__inside")
