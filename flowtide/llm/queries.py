@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, token_counts, token_store
+from . import line_dedup, mixing, packing, quality, token_counts, token_store
 from .common import documents, scratch_path, written
 
 
@@ -60,10 +60,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    taken = mixed.draws.groupBy("key1", "key2").agg(F.sum("n_words").alias("taken"))
+    sources = F.broadcast(mixed.sources) if mixed.sources.count() <= mixing.BROADCAST_SOURCES else mixed.sources
+    both = mixed.documents.join(taken, ["key1", "key2"], "left").alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    return both.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return store.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op9_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store)}
 ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
