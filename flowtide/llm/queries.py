@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, token_counts, token_store
+from . import fingerprints, line_dedup, mixing, packing, quality, token_counts, token_store
 from .common import documents, scratch_path, written
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = fingerprints.edited_versions(documents(spark, sf_dir))
+    kept = written(versions.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"), "versions")
+    edited = fingerprints.compare(kept.select("doc_id", "n_chars", "edited_sha256", "keys", "edited_keys"), "keys", "edited_keys")
+    following = fingerprints.compare(kept.select("doc_id", "keys", "next_keys"), "keys", "next_keys")
+    prints = [fingerprints.as_text(fingerprints.sketch(F.col(c))).alias(name) for c, name in (("keys", "fingerprint"), ("edited_keys", "edited_fingerprint"))]
+    return edited.select("doc_id", "n_chars", "edited_sha256", *prints, F.col("likeness").alias("near_edited")).join(following.select("doc_id", F.col("likeness").alias("near_next")), "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     field = quality.fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -73,5 +82,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store)}
 ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
