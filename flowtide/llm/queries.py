@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, packing, quality, token_counts, token_store
+from . import fingerprints, line_dedup, mixing, packing, quality, token_counts, token_store, toxicity
 from .common import documents, scratch_path, written
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = lambda key: F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    model, counts = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("key"))
+    scored = toxicity.score(counts, model)
+    return scored.select(F.col("key").alias("doc_id"), held_out("key").alias("held_out"), "score", "predicted", F.col("evidence").cast("array<struct<example:bigint,label:int,cosine:double>>"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = fingerprints.edited_versions(documents(spark, sf_dir))
     kept = written(versions.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"), "versions")
@@ -82,5 +90,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store)}
 ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
