@@ -17,8 +17,8 @@ import numpy as np
 _ODD = re.compile("[^\n\t\x20-\x7e¡«»¿À-įı-ɏΑ-ΡΤ-Ωα-ωЀ-ҁҊ-ӿ‘’“”–—…]")
 #: Ends a word for the word-level model; texts that hold it count as odd.
 _END = "\x01"
-#: How the word-level file cuts texts, for texts that aren't odd.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: How the word-level file cuts texts besides at white space, for texts that aren't odd: around these.
+_APART = re.compile(r"'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
 #: How byte-level files cut texts.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -50,7 +50,7 @@ class Encoder:
                 last = bool(end) and token.endswith(end)
                 ranks[bytes(byte[c] for c in (token[: -len(end)] if last else token)) + _END.encode() * last] = i
         self.words = bool(end)
-        self.fast = tiktoken.Encoding("own", pat_str=f"[^{_END}]*{_END}" if end else _BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("own", pat_str=f"[^{_END}]+{_END}" if end else _BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.size = self.tokenizer.get_vocab_size()
 
     def encode(self, text: str) -> list[int]:
@@ -60,8 +60,9 @@ class Encoder:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if not self.words:
             return self.fast.encode_ordinary(text)
-        words = _WORD.findall(text.lower())
-        return self.fast.encode_ordinary(_END.join(words) + _END) if words else []
+        # Each piece with one end sign behind it; signs without a piece before them match nothing and are passed over.
+        pieces = _APART.sub(f"{_END}\\g<0>{_END}", text.lower()).replace(" ", _END).replace("\n", _END).replace("\t", _END)
+        return self.fast.encode_ordinary(pieces + _END)
 
     def ids(self, text: str, end: int | None, kind: str = "<u4") -> bytes:
         """The ids, ``end`` behind them, as little-endian integers."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, packing, quality, token_counts, token_store, toxicity
+from . import fingerprints, jaccard, line_dedup, mixing, packing, quality, token_counts, token_store, toxicity
 from .common import documents, scratch_path, written
 
 
@@ -90,5 +90,9 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store, op10_jaccard_join)}
 ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
