@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, line_dedup, mixing, packing, quality, token_counts, token_store, toxicity
+from . import fingerprints, jaccard, line_dedup, mixing, packing, quality, substrings, token_counts, token_store, toxicity
 from .common import documents, scratch_path, written
 
 
@@ -77,6 +77,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     taken = mixed.draws.groupBy("key1", "key2").agg(F.sum("n_words").alias("taken"))
@@ -94,5 +99,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op8_mixing, op9_token_store, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op7_substring_dedup, op8_mixing, op9_token_store, op10_jaccard_join)}
 ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
