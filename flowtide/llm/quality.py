@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, add_columns, counts_between, text_bytes, windows, word_spans
+from .common import SPACES, Spans, add_columns, counts_between, text_bytes, windows, word_spans
 
 #: Labelled documents of each class, at most, that the field is fitted on; those with the lowest hashes of their ids.
 FIT_DOCS = 1500
@@ -63,9 +63,7 @@ def measure(column: pa.Array) -> tuple[list[np.ndarray], Lines]:
     spans = Spans(raw)
     starts, ends, first = word_spans(raw, offsets)
     n_words = np.diff(first)
-    in_word = np.zeros(len(raw) + 1, np.int64)
-    in_word[starts], in_word[ends] = 1, in_word[ends] - 1
-    in_word = np.cumsum(in_word)[:-1].astype(bool)
+    in_word = ~SPACES[raw]
     word_chars = counts_between(in_word & ~_CONT[raw], offsets)
     n_symbols = counts_between(_SYMBOLS[raw], offsets)
 
