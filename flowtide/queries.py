@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import norm_cdf_sql, session_label
-from .operators import cleaning, features, gate, indicators, labels, markouts, metrics, splits, vpin
+from .operators import cleaning, features, gate, indicators, labels, learn, markouts, metrics, splits, vpin
 from .plans.series import DAY_NS, seconds
-from .sources import fixtures
+from .sources import fixtures, synthetic
 from .sources.fixtures import DAILY_SQL, TICKS_SQL, bucket_volume
+from .streaming import engine
 
 HORIZONS = (600, 3600, 21600, 86400)
 H, THETA, GAP = 3600.0, 3e-4, 1800.0
@@ -474,6 +477,36 @@ def worst_counterparties(spark, sf_dir):
     return rounded(d.where("n_fills >= 20").orderBy("mean_markout", "counterparty_id").limit(5), 9)
 
 
+@query(f"""WITH {TICKS_SQL}, b AS (SELECT *, (row_number() OVER (ORDER BY ts_ns, seq) - 1) // 50 AS block FROM ticks), q AS (SELECT *, first_value(mid) OVER (PARTITION BY block ORDER BY ts_ns, seq) AS quote FROM b),
+h AS (SELECT *, CASE WHEN mid >= quote + 2e-4::DOUBLE + 5e-5::DOUBLE THEN 1 WHEN mid <= quote - 2e-4::DOUBLE - 5e-5::DOUBLE THEN -1 END AS sign FROM q), f AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY ts_ns, seq) AS n FROM h WHERE sign IS NOT NULL)
+SELECT block, seq, ts_ns, sign, round(quote + sign * 2e-4, 6) AS price FROM f WHERE n = 1""")
+def lp_pickoffs(spark, sf_dir):
+    return rounded(synthetic.pickoffs(ticks(spark, sf_dir), refresh_ticks=50, slice_ns=SLICE))
+
+
+@query()
+def logreg_scores(spark, sf_dir):
+    """Out-of-fold scores of a logistic model on purged folds."""
+    f = fills(spark, sf_dir)
+    data = features.build_features(labelled(spark, sf_dir).drop("price").join(f.select("fill_id", "price"), "fill_id"), ticks(spark, sf_dir), None, SHORT, LONG, H, slice_ns=SLICE)
+    columns = ["obi", "micro_dev", "vol_short", "cp_toxic_rate_hist"]
+    data = features.select_matrix(data, columns).select("fill_id", "label", *columns).cache()
+    out, _ = learn.cross_validate(data, splits.purged_kfold(f, H, 3), columns)
+    return out.select("fill_id", "fold", "label", "score")
+
+
+@query()
+def stream_vpin(spark, sf_dir):
+    """The realtime engine over the ticks as a file stream; one row a closed bucket."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='flowtide-')}/stream-{uuid.uuid4().hex}"
+    t = ticks(spark, sf_dir).withColumn("symbol", F.lit("EURUSD"))
+    t.repartitionByRange(4, "ts_ns", "seq").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(t.schema).option("latestFirst", "false").parquet(f"{base}/in")
+    out = engine.stream(source, engine.Settings(_v(spark, sf_dir), window=10))
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 # Indicators on daily bars
 
 
