@@ -48,6 +48,14 @@ def write(df: DataFrame, path: str) -> None:
         df.write.option("compression", "zstd").parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() gave and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Spark's switch to remove a query's shuffle files at its end; older versions ignore it.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -163,7 +171,7 @@ def add_columns(docs: DataFrame, text_col: str, compute: Callable[[pa.Array], li
     return done.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col(c) for c in new.names])
 
 
-_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +214,7 @@ def runs_of(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of each text, and where each text's words begin among them."""
-    starts, ends = runs_of(~_SPACES[raw], offsets)
+    starts, ends = runs_of(~SPACES[raw], offsets)
     return starts, ends, np.searchsorted(starts, offsets)
 
 

@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Spans, add_columns, mix64, partitions, slices, text_bytes, windows, word_spans, written
+from .common import LOWER, Spans, add_columns, discard, mix64, partitions, slices, text_bytes, windows, word_spans, written
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: A token is frequent if more than one in so many classes, and more than FEW, are indexed under it. At most that many
 #: times the mean prefix length of tokens can be frequent, which bounds what is broadcast.
 FREQUENT_SHARE, FEW = 1000, 64
 BLOCK = 512
-#: Bits of a parity sketch.
-BITS = 1024
+#: Up to so many ids (8 bytes each) are broadcast to pick their texts; more are joined.
+FEW_IDS = 1_000_000
+#: Bits of a parity sketch, at least; large sets have more, as many as they have tokens.
+BITS = 512
 _LINK = "a long, b long"
 
 
@@ -49,8 +51,21 @@ def in_order(tokens: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """One bit for each of BITS buckets: whether it has an odd number of the tokens."""
-    return np.packbits(np.bincount((mix64(tokens) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1)
+    """One bit for each bucket of hashes: whether it has an odd number of the tokens. Differing bits never outnumber
+    differing tokens."""
+    bits = BITS << max(0, (len(tokens) - 1).bit_length() - (BITS - 1).bit_length())
+    return np.packbits(np.bincount((mix64(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch as one of fewer bytes."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0) if len(sketch) > size else sketch
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -107,7 +122,8 @@ def _pairs(entries: DataFrame, num: int, den: int, first_only: bool) -> DataFram
         seen: set[tuple[int, int]] = set()
         for table in _batches_by_list(batches, by):
             cols = {c: table.column(c).to_numpy() for c in (*by, "key", "n", "component", "side")}
-            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
+            whole = table.column("sketch").to_pylist()
+            sketches = np.stack([folded(np.frombuffer(x, np.uint8), BITS // 8) for x in whole]).view(np.uint64)
             new = np.ones(table.num_rows, bool)
             new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in by], axis=0)
             starts = np.flatnonzero(new)
@@ -128,7 +144,10 @@ def _pairs(entries: DataFrame, num: int, den: int, first_only: bool) -> DataFram
                 if not len(left):
                     continue
                 differ = np.bitwise_count(sketches[left] ^ sketches[right]).sum(axis=1, dtype=np.int64)
-                fit = differ * (den + num) <= (cols["n"][left] + cols["n"][right]) * (den - num)
+                room_for = (cols["n"][left] + cols["n"][right]) * (den - num)
+                fit = differ * (den + num) <= room_for
+                for k in np.flatnonzero(fit & (cols["n"][left] > BITS)):
+                    fit[k] = differing_bits(whole[left[k]], whole[right[k]]) * (den + num) <= room_for[k]
                 a_out.append(cols["key"][left[fit]])
                 b_out.append(cols["key"][right[fit]])
             if a_out:
@@ -168,7 +187,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
+    if wanted.count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)
     sets = written(
         add_columns(texts.join(wanted, "key", "left_semi"), "text", lambda column: [pa.array([s.tobytes() for s in shingle_sets(column, words)], pa.binary())], "tokens binary", keep=["key"]),
         "sets",
@@ -200,7 +221,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     none = np.zeros(0, np.uint64)
-    sets = written(_prefixes(texts, words, num, den, none), "prefixes")
+    first = written(_prefixes(texts, words, num, den, none), "prefixes")
+    sets = written(first.select("key", "n", "h1", "h2"), "sets")
     classes = written(sets.where("n > 0 and key is not null").groupBy("h1", "h2", "n").agg(F.min("key").alias("class")), "classes")
     n_classes = classes.count()
 
@@ -209,12 +231,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return found.select("key", "n", "prefix", "sketch", "h1", "h2").dropDuplicates(["key", "h1", "h2"])
 
     least = max(FEW, n_classes // FREQUENT_SHARE)
-    counted = representatives(sets).select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > least)
+    counted = written(representatives(first).select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > least), "frequent")
     frequent = np.sort(np.array([r["token"] for r in counted.select("token").collect()], np.int64).view(np.uint64))
+    indexed = first
     if len(frequent):
         indexed = written(_prefixes(texts, words, num, den, frequent), "prefixes")
-    else:
-        indexed = sets
+        discard(first)
 
     at = Window.partitionBy("token").orderBy("n", "key")
     listed = representatives(indexed).select("key", "n", F.explode("prefix").alias("token"))
@@ -229,7 +251,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = listed.join(meet, (listed["token"] == meet["token"]) & (listed["block"] == meet["i"])).select(listed["token"], "i", "j", F.lit(0).alias("side"), "key", "n")
     right = listed.join(meet, (listed["token"] == meet["token"]) & (listed["block"] == meet["j"])).select(listed["token"], "i", "j", F.lit(1).alias("side"), "key", "n")
     sketches = representatives(indexed).select("key", "sketch")
-    entries = written(own.union(left).union(right).join(sketches, "key"), "entries")
+    entries = own.union(left).union(right).join(sketches, "key")
 
     alone = entries.withColumn("component", F.col("key"))
     tested = written(_pairs(alone, num, den, True), "pairs")
