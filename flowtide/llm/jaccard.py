@@ -27,7 +27,7 @@ BLOCK = 512
 #: Up to so many ids (8 bytes each) are broadcast to pick their texts; more are joined.
 FEW_IDS = 1_000_000
 #: Bits of a parity sketch, at least; large sets have more, as many as they have tokens.
-BITS = 512
+BITS = 2048
 _LINK = "a long, b long"
 
 
