@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -19,6 +20,9 @@ _ODD = re.compile("[^\n\t\x20-\x7e¡«»¿À-įı-ɏΑ-ΡΤ-Ωα-ωЀ-ҁҊ-ӿ‘
 _END = "\x01"
 #: How the word-level file cuts texts besides at white space, for texts that aren't odd: around these.
 _APART = re.compile(r"'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+#: Runs of what isn't a letter or white space there; a single set of characters is fast to look for.
+_MARKS = re.compile("[!-@\\[-`{-~¡«»¿×÷‘’“”–—…]+")
+_AROUND = f"{_END}\\g<0>{_END}"
 #: How byte-level files cut texts.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -30,6 +34,19 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+_known_marks: dict[str, str] = {}
+
+
+def _set_apart(m: re.Match) -> str:
+    run = m[0]
+    out = _known_marks.get(run)
+    if out is None:
+        out = _APART.sub(_AROUND, run)
+        if len(_known_marks) < 10_000:
+            _known_marks[run] = out
+    return out
+
+
 class Encoder:
     """``encode(text)`` gives the ids of a whole text, special tokens' strings counting as ordinary text."""
 
@@ -61,15 +78,21 @@ class Encoder:
         if not self.words:
             return self.fast.encode_ordinary(text)
         # Each piece with one end sign behind it; signs without a piece before them match nothing and are passed over.
-        pieces = _APART.sub(f"{_END}\\g<0>{_END}", text.lower()).replace(" ", _END).replace("\n", _END).replace("\t", _END)
+        text = text.lower()
+        pieces = _APART.sub(_AROUND, text) if "'" in text else _MARKS.sub(_set_apart, text)
+        pieces = pieces.replace(" ", _END).replace("\n", _END).replace("\t", _END)
         return self.fast.encode_ordinary(pieces + _END)
 
-    def ids(self, text: str, end: int | None, kind: str = "<u4") -> bytes:
-        """The ids, ``end`` behind them, as little-endian integers."""
+    def array(self, text: str, end: int | None, kind: str = "<u4") -> np.ndarray:
+        """The ids, ``end`` behind them, as integers of a kind that holds them."""
         out = self.encode(text)
         if end is not None:
-            out = [*out, end]
-        return np.array(out, kind).tobytes()
+            out.append(end)
+        return np.frombuffer(array("H" if kind == "<u2" else "I", out), kind)
+
+    def ids(self, text: str, end: int | None) -> bytes:
+        """The ids, ``end`` behind them, as little-endian unsigned 32-bit integers."""
+        return self.array(text, end).tobytes()
 
 
 _loaded: dict[str, Encoder] = {}

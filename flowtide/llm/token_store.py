@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, mix64, partitions, running_totals, scratch_path, settings, slices, write
+from .common import CLEANUP, partitions, running_totals, scratch_path, settings, slices, write
 from .encoders import encoder
 
 END_ID = 2
-#: Ids that the rolling hash sees; chunks end where it is 0 modulo MEAN, but hold LEAST to MOST ids.
+#: Ids that the rolling hash sees; chunks end where one hash in MEAN says so, but hold LEAST to MOST ids.
 WINDOW, MEAN, LEAST, MOST = 4, 192, 48, 2048
 _DIGEST = 16
 
@@ -35,11 +35,15 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    rolled = np.zeros(n - WINDOW + 1, np.uint64)
-    for k in range(WINDOW):
-        rolled = rolled * np.uint64(0x100000001B3) + ids[k : n - WINDOW + 1 + k].astype(np.uint64)
+    wide = ids.astype(np.uint32)
+    rolled = wide[: n - WINDOW + 1].copy()
+    for k in range(1, WINDOW):
+        rolled *= np.uint32(0x01000193)
+        rolled += wide[k : n - WINDOW + 1 + k]
+    # The top bits of a last product decide, as the low ones see the last id alone.
+    hit = (rolled * np.uint32(0x9E3779B1)) < np.uint32((1 << 32) // MEAN)
     ends, last = [], 0
-    for end in (np.flatnonzero(mix64(rolled) % np.uint64(MEAN) == 0) + WINDOW).tolist():
+    for end in (np.flatnonzero(hit) + WINDOW).tolist():
         while end - last > MOST:
             last += MOST
             ends.append(last)
@@ -81,7 +85,7 @@ class TokenStore:
     def manifest(self) -> DataFrame:
         """The Merkle root of each recipe file's documents: file, first_id, n_docs, root."""
 
-        def root(key, rows: pa.Table) -> pa.Table:
+        def root(key, rows):
             ordered = rows.sort_by("doc_id")
             return pa.table({"file": [key[0].as_py()], "first_id": ordered.column("doc_id")[:1], "n_docs": [len(rows)], "root": [merkle_root(ordered.column("root").to_pylist())]})
 
@@ -164,7 +168,7 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                     if doc == last:
                         continue
                     last = doc
-                    ids = np.array([*enc.encode(text), end_id], kind)
+                    ids = enc.array(text, end_id, kind)
                     ends = cuts(ids)
                     starts = [0, *ends[:-1]]
                     for column, value in zip(out, (doc, ids.tobytes(), [_digest(ids[a:b]) for a, b in zip(starts, ends, strict=True)], [b - a for a, b in zip(starts, ends, strict=True)]), strict=True):
