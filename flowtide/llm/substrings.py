@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, mix64, partitions, slices, text_bytes, written
+from .common import Spans, discard, mix64, partitions, slices, text_bytes, written
 
 #: Bytes of a string that must not repeat.
 LENGTH = 400
@@ -175,10 +175,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in passed if c != text_col]).alias("row"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("doc"), text.alias("text"))
     texts = rows.select("doc", "text")
     sampled = written(_sampled(texts, length, gap), "samples")
-    covers = written(sampled.groupBy(*_ALL).agg(F.count("*").alias("n")), "names")
-    shared = covers.groupBy("behind").agg(F.count("*").alias("kinds"), F.sum("n").alias("of")).where("of > 1")
-    known = covers.join(shared, "behind").where("n > 1 or kinds > 1").select(*_ALL, "n", "kinds")
-    hits = written(sampled.join(known, list(_ALL)), "hits")
+    # Samples whose name is their own end here.
+    shared = sampled.groupBy("behind").agg(F.count("*").alias("of")).where("of > 1").select("behind")
+    candidates = written(sampled.join(shared, "behind"), "candidates")
+    discard(sampled)
+    names = written(candidates.groupBy(*_ALL).agg(F.count("*").alias("n")), "names")
+    kinds = names.groupBy("behind").agg(F.count("*").alias("kinds"))
+    hits = written(candidates.join(names.join(kinds, "behind"), list(_ALL)), "hits")
+    discard(candidates)
 
     # One sample of each name stands for all of that name.
     named = F.xxhash64(*_ALL).alias("region")
