@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs are its lines, those over 240 characters cut there; each distinct one gives a 64-bit key. A sketch
+A text's paragraphs are its lines, those over 1000 characters cut there; each distinct one gives a 64-bit key. A sketch
 has three tables of cells; a key is counted and XORed into one cell of each. Subtracting two sketches leaves the keys
 that only one text holds. Peeling finds them: a cell with a count of 1 or -1 whose key passes its own check shows a key,
 which is taken out of its other cells, and so on. Where cells remain, both sketches are made again four times as large.
@@ -17,7 +17,7 @@ from .common import partitions, written
 
 #: Cells of each of the three tables at first, and the rounds of peeling.
 CELLS, ROUNDS, TABLES = 16, 24, 3
-_PARAGRAPH = r"[^\n]{1,240}"
+_PARAGRAPH = r"[^\n]{1,1000}"
 _CHECK_BITS = 24
 _CELL = "array<struct<n:bigint,k:bigint>>"
 
@@ -87,19 +87,21 @@ def peel(difference: Column, cells: int, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
 
-def compare(pairs: DataFrame, a: str, b: str, first: int = CELLS) -> DataFrame:
+def compare(pairs: DataFrame, a: str, b: str, first: int = CELLS, sketches: tuple[str, str] | None = None) -> DataFrame:
     """``pairs`` (with ``a`` and ``b``, arrays of paragraph keys) with only_a, only_b (the keys that one of them lacks)
     and likeness (double): the share of all their distinct keys that both hold, 1 where neither has any.
 
     Everything comes from peeled differences of sketches; pairs whose peeling gets stuck are tried again with sketches
-    four times as large. A null array counts as empty; repeated rows stay; names that clash give way.
+    four times as large. ``sketches`` names columns with the first sketches of both, where they are at hand already.
+    A null array counts as empty; repeated rows stay; names that clash give way.
     """
     new = ("only_a", "only_b", "likeness")
-    kept = [c for c in pairs.columns if c not in new]
+    kept = [c for c in pairs.columns if c not in new and c not in (sketches or ())]
     keys_a, keys_b = (F.coalesce(F.col(c), F.array().cast("array<bigint>")) for c in (a, b))
-    open_, cells, done = pairs.select(*kept), first, []
+    open_, cells, done = pairs.select(*kept, *(sketches or ())), first, []
     while True:
-        peeled = open_.withColumn("__peeled", peel(subtract(sketch(keys_a, cells), sketch(keys_b, cells)), cells))
+        of_a, of_b = (F.col(c) for c in sketches) if sketches and cells == first else (sketch(keys_a, cells), sketch(keys_b, cells))
+        peeled = open_.withColumn("__peeled", peel(subtract(of_a, of_b), cells)).drop(*(sketches or ()))
         for name, sign in (("only_a", 1), ("only_b", -1)):
             peeled = peeled.withColumn(name, F.transform(F.filter("__peeled.found", lambda x: x["n"] == sign), lambda x: x["k"]))  # noqa: B023
         common, union = F.size(keys_a) - F.size("only_a"), F.size(keys_b) + F.size("only_a")

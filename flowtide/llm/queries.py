@@ -22,11 +22,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = fingerprints.edited_versions(documents(spark, sf_dir))
-    kept = written(versions.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"), "versions")
-    edited = fingerprints.compare(kept.select("doc_id", "n_chars", "edited_sha256", "keys", "edited_keys"), "keys", "edited_keys")
-    following = fingerprints.compare(kept.select("doc_id", "keys", "next_keys"), "keys", "next_keys")
-    prints = [fingerprints.as_text(fingerprints.sketch(F.col(c))).alias(name) for c, name in (("keys", "fingerprint"), ("edited_keys", "edited_fingerprint"))]
-    return edited.select("doc_id", "n_chars", "edited_sha256", *prints, F.col("likeness").alias("near_edited")).join(following.select("doc_id", F.col("likeness").alias("near_next")), "doc_id")
+    sketched = {f"{c}_sketch": fingerprints.sketch(F.col(c)) for c in ("keys", "edited_keys", "next_keys")}
+    kept = written(versions.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited").withColumns(sketched), "versions")
+    edited = fingerprints.compare(kept.select("doc_id", "keys", "edited_keys", "keys_sketch", "edited_keys_sketch"), "keys", "edited_keys", sketches=("keys_sketch", "edited_keys_sketch"))
+    following = fingerprints.compare(kept.select("doc_id", "keys", "next_keys", "keys_sketch", "next_keys_sketch"), "keys", "next_keys", sketches=("keys_sketch", "next_keys_sketch"))
+    prints = [fingerprints.as_text(F.col(f"{c}_sketch")).alias(name) for c, name in (("keys", "fingerprint"), ("edited_keys", "edited_fingerprint"))]
+    near = edited.select("doc_id", F.col("likeness").alias("near_edited")).join(following.select("doc_id", F.col("likeness").alias("near_next")), "doc_id")
+    return kept.select("doc_id", "n_chars", "edited_sha256", *prints).join(near, "doc_id")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
