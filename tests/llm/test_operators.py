@@ -345,7 +345,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def paragraphs(text):
-    return set(re.findall(r"[^\n]{1,240}", text or ""))
+    return set(re.findall(r"[^\n]{1,1000}", text or ""))
 
 
 def test_fingerprints_recover_the_difference(docs, empty):
