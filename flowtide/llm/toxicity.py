@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings; a vocabulary of those that tell the labels apart is chosen on a bounded sample of
-labelled rows, which are also the examples. Document frequencies count over all documents. The index keeps each term's
-postings in blocks of examples with the largest weight of each block; a search opens blocks in the order of their upper
-bounds and stops when no closed block can reach the k-th best cosine, so the neighbours are exact. Their votes, weighted
-by cosine, are calibrated on the examples themselves, each left out in turn.
+Terms are words and their beginnings, all that stand in the examples, a bounded sample of labelled rows. Document
+frequencies count over all documents. The index keeps each term's postings in blocks of examples with the largest
+weight of each block; a search opens blocks in the order of their upper bounds and stops when no closed block can reach
+the k-th best cosine, so the neighbours are exact. Their votes are weighted by cosine. A few telling words hardly move
+the cosine of a long text, so a second search, over the terms that tell the labels apart, votes too where a text holds
+such terms. Votes are calibrated on the examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Spans, add_columns, mix64, runs_of, text_bytes, written
 
-#: Labelled examples of each class, at most (those with the lowest hashes of their ids), and terms of the vocabulary.
+#: Labelled examples of each class, at most (those with the lowest hashes of their ids), and telling terms.
 EXAMPLES, TERMS = 4000, 2000
 NEIGHBOURS, BLOCK = 15, 64
-#: Bytes of the beginnings of words that count as terms; a term stands in at least so many examples.
+#: Bytes of the beginnings of words that count as terms; a telling term stands in at least so many examples.
 BEGINNINGS, LEAST_EXAMPLES = (4, 5, 6), 4
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[0x80:] = True
@@ -44,24 +45,31 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-def choose_terms(doc: np.ndarray, term: np.ndarray, toxic: np.ndarray, terms: int = TERMS) -> np.ndarray:
-    """The sorted hashes of the terms with the largest chi-square against the labels."""
-    pairs = np.unique(np.column_stack((doc.astype(np.uint64), term)), axis=0)
-    which, at = np.unique(pairs[:, 1], return_inverse=True)
-    of = toxic[pairs[:, 0].astype(int)]
+def distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (text, term), in this order, and how often each stands there."""
+    order = np.lexsort((term, doc))
+    doc, term = doc[order], term[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+    starts = np.flatnonzero(new)
+    return doc[starts], term[starts], np.diff(np.append(starts, len(doc)))
+
+
+def telling_terms(doc: np.ndarray, at: np.ndarray, size: int, toxic: np.ndarray, terms: int = TERMS) -> np.ndarray:
+    """The sorted places, of ``size`` terms, of those with the largest chi-square against the labels."""
     n, pos = len(toxic), int(toxic.sum())
-    both, df = np.bincount(at, weights=of, minlength=len(which)), np.bincount(at, minlength=len(which))
+    both, df = np.bincount(at, weights=toxic[doc], minlength=size), np.bincount(at, minlength=size)
     expected = df * pos / n
     spread = np.maximum(df * (n - df) / n * (pos / n) * (1 - pos / n), 1e-12)
     score = (both - expected) ** 2 / spread
     # Bounds the chance that one of all the terms looks so telling by luck.
-    good = (df >= LEAST_EXAMPLES) & (score > 2 * np.log(max(len(which), 2)) + 8)
-    best = np.lexsort((which, -score))
-    return np.sort(which[best[good[best]][:terms]])
+    good = (df >= LEAST_EXAMPLES) & (score > 2 * np.log(max(size, 2)) + 8)
+    best = np.argsort(-score, kind="stable")
+    return np.sort(best[good[best]][:terms])
 
 
 def chosen_counts(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in the vocabulary, count) of the chosen terms of every text, in this order."""
+    """(text, place in the vocabulary, count) of the terms of every text that it holds, in this order."""
     doc, term = term_hashes(column)
     if not len(vocabulary):
         return (np.zeros(0, np.int64),) * 3
@@ -72,28 +80,41 @@ def chosen_counts(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray,
     return keys // len(vocabulary), keys % len(vocabulary), counts
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each start, so many as its length."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings by term and block, each a dense short vector of weights, and the largest weight of each."""
+    """Postings by term and block, and the largest weight of each term in each block."""
 
     doc_ids: np.ndarray
     labels: np.ndarray
     offsets: np.ndarray  # of the blocks of each term
     blocks: np.ndarray
     tops: np.ndarray
-    weights: np.ndarray  # one row of BLOCK weights for each posting block
+    starts: np.ndarray  # of the postings of each term's block
+    examples: np.ndarray
+    weights: np.ndarray
 
     @classmethod
     def build(cls, doc_ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
         """``rows`` has the terms and unit-length weights of each example."""
-        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
         term = np.concatenate([t for t, _ in rows] or [np.zeros(0, int)])
         weight = np.concatenate([w for _, w in rows] or [np.zeros(0)])
         n_blocks = max(1, -(-len(rows) // BLOCK))
-        keys, at = np.unique(term * n_blocks + example // BLOCK, return_inverse=True)
-        weights = np.zeros((len(keys), BLOCK))
-        weights[at, example % BLOCK] = weight
-        return cls(doc_ids, labels, np.searchsorted(keys // n_blocks, np.arange(terms + 1)), keys % n_blocks, weights.max(axis=1, initial=0), weights)
+        order = np.argsort(term, kind="stable")
+        example, weight, keys = example[order], weight[order], term[order].astype(np.int64)
+        del term, order
+        keys *= n_blocks
+        keys += example // BLOCK
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys = keys[starts]
+        tops = np.maximum.reduceat(weight, starts) if len(starts) else np.zeros(0)
+        return cls(doc_ids, labels, np.searchsorted(keys // n_blocks, np.arange(terms + 1)), (keys % n_blocks).astype(np.int32), tops, np.append(starts, len(weight)).astype(np.int32), example, weight)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosines above 0 and these, best first, ties to the earlier example.
@@ -101,31 +122,34 @@ class BlockMaxIndex:
         ``without`` names an example that is left out.
         """
         n_blocks = max(1, -(-len(self.labels) // BLOCK))
-        bounds = np.zeros(n_blocks)
-        for t, w in zip(terms, weights, strict=True):
-            here = slice(self.offsets[t], self.offsets[t + 1])
-            bounds[self.blocks[here]] += w * self.tops[here]
+        lengths = self.offsets[terms + 1] - self.offsets[terms]
+        here, w = _ranges(self.offsets[terms], lengths), np.repeat(weights, lengths)
+        block = self.blocks[here]
+        bounds = np.bincount(block, w * self.tops[here], minlength=n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        ids, scores, least = np.zeros(0, int), np.zeros(0), 0.0
-        for start in range(0, len(order), 8):
-            chunk = order[start : start + 8]
-            if len(ids) == k and bounds[chunk[0]] < least - 1e-12:
-                break
-            got = np.zeros((len(chunk), BLOCK))
-            place = np.full(n_blocks, -1)
-            place[chunk] = np.arange(len(chunk))
-            for t, w in zip(terms, weights, strict=True):
-                here = np.arange(self.offsets[t], self.offsets[t + 1])
-                here = here[place[self.blocks[here]] >= 0]
-                got[place[self.blocks[here]]] += w * self.weights[here]
-            new = (chunk[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosines = np.round(got.ravel(), 12)
-            ok = (cosines > 0) & (new != without)
-            ids, scores = np.concatenate((ids, new[ok])), np.concatenate((scores, cosines[ok]))
+        ids, scores, least, start, step = np.zeros(0, int), np.zeros(0), 0.0, 0, 8
+        while start < len(order):
+            chunk = order[start : start + step]
+            if len(ids) == k:
+                chunk = chunk[bounds[chunk] >= least - 1e-11]
+                if not len(chunk):
+                    break
+            opened = np.zeros(n_blocks, bool)
+            opened[chunk] = True
+            mine = np.flatnonzero(opened[block])
+            first = self.starts[here[mine]]
+            lengths = self.starts[here[mine] + 1] - first
+            at = _ranges(first, lengths)
+            cosines = np.round(np.bincount(self.examples[at], np.repeat(w[mine], lengths) * self.weights[at], minlength=len(self.labels)), 12)
+            if without >= 0:
+                cosines[without] = 0
+            new = np.flatnonzero(cosines > 0 if len(ids) < k else cosines >= least)
+            ids, scores = np.concatenate((ids, new)), np.concatenate((scores, cosines[new]))
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             least = scores[-1] if len(scores) == k else 0.0
+            start, step = start + len(chunk), 2 * step
         return ids, scores
 
 
@@ -134,21 +158,35 @@ class Model:
     vocabulary: np.ndarray
     idf: np.ndarray
     index: BlockMaxIndex
-    calibration: tuple[np.ndarray, np.ndarray]  # votes and what they mean
+    place: np.ndarray  # of each term among the telling ones, -1 for the others
+    telling: BlockMaxIndex
+    calibrations: dict[bool, tuple[np.ndarray, np.ndarray]]  # votes and what they mean, with and without telling terms
     silent: float  # the score of a text without neighbours
     k: int
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return _unit((1 + np.log(counts)) * self.idf[terms])
+    def vectors(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of unit length of all terms, and the telling terms' places and weights."""
+        w = (1 + np.log(counts)) * self.idf[terms]
+        told = self.place[terms] >= 0
+        return _unit(w), self.place[terms[told]], _unit(w[told])
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float | None, bool, np.ndarray, np.ndarray]:
+        """The vote, if telling terms took part, and the neighbours by all terms with their cosines."""
         if not len(terms):
-            return self.silent, np.zeros(0, int), np.zeros(0)
-        ids, cosines = self.index.search(terms, self.vector(terms, counts), self.k)
+            return None, False, np.zeros(0, int), np.zeros(0)
+        w, told, told_w = self.vectors(terms, counts)
+        ids, cosines = self.index.search(terms, w, self.k, without)
         if not len(ids):
-            return self.silent, ids, cosines
-        vote = float((cosines * self.index.labels[ids]).sum() / cosines.sum())
-        return float(np.interp(vote, *self.calibration)), ids, cosines
+            return None, False, ids, cosines
+        value = float((cosines * self.index.labels[ids]).sum() / cosines.sum())
+        near, likeness = self.telling.search(told, told_w, self.k, without) if len(told) else (ids[:0], cosines[:0])
+        if len(near):
+            value = (value + float((likeness * self.index.labels[near]).sum() / likeness.sum())) / 2
+        return value, bool(len(near)), ids, cosines
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value, told, ids, cosines = self.vote(terms, counts)
+        return self.silent if value is None else float(np.interp(value, *self.calibrations[told])), ids, cosines
 
 
 def _unit(w: np.ndarray) -> np.ndarray:
@@ -182,15 +220,18 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_c
     chosen = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(few[0].union(few[1])), "key")
 
     def hashed(column: pa.Array) -> list:
-        doc, term = term_hashes(column)
-        pairs = np.unique(np.column_stack((doc.astype(np.uint64), term)), axis=0)
-        ends = np.searchsorted(pairs[:, 0], np.arange(len(column) + 1))
-        return [[pairs[a:b, 1].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]]
-
-    rows = sorted(add_columns(chosen, "text", hashed, "terms binary", keep=["key", "label"]).collect(), key=lambda r: r["key"])
-    each = [np.frombuffer(r["terms"], np.uint64) for r in rows]
-    labels_of = np.array([r["label"] for r in rows], int)
-    vocabulary = choose_terms(np.repeat(np.arange(len(rows)), [len(e) for e in each]), np.concatenate(each or [np.zeros(0, np.uint64)]), labels_of, terms) if len(set(labels_of)) == 2 else np.zeros(0, np.uint64)
+        doc, term, counts = distinct(*term_hashes(column))
+        ends = np.searchsorted(doc, np.arange(len(column) + 1))
+        parts = list(zip(ends[:-1], ends[1:], strict=True))
+        return [[term[a:b].tobytes() for a, b in parts], [counts[a:b].astype("<u4").tobytes() for a, b in parts]]
+
+    rows = sorted(add_columns(chosen, "text", hashed, "terms binary, counts binary", keep=["key", "label"]).collect(), key=lambda r: r["key"])
+    keys, mark = [r["key"] for r in rows], np.array([r["label"] for r in rows], int)
+    sizes_of = np.array([len(r["terms"]) // 8 for r in rows], int)
+    found = np.frombuffer(b"".join(r["terms"] for r in rows), np.uint64)
+    often = np.frombuffer(b"".join(r["counts"] for r in rows), "<u4")
+    del rows
+    vocabulary = np.unique(found) if len(set(mark)) == 2 else np.zeros(0, np.uint64)
 
     def counted(column: pa.Array) -> list:
         doc, at, counts = chosen_counts(column, vocabulary)
@@ -198,39 +239,61 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_c
         return [pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))]
 
     counts = written(add_columns(docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")), "text", counted, "terms array<int>, counts array<int>", keep=["key"]), "term-counts")
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One row a term and task, not one a term and document.
+        n = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(n))
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(n[held])], ["term", "n"])
+
     df = np.zeros(len(vocabulary))
-    for r in counts.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[r["term"]] = r["count"]
+    if len(vocabulary):
+        per_term = counts.select("terms").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df[per_term["term"].to_numpy()] = per_term["n"].to_numpy()
     idf = np.log((1 + counts.count()) / (1 + df)) + 1
 
-    own = {r["key"]: (np.array(r["terms"], int), np.array(r["counts"], float)) for r in counts.join(F.broadcast(few[0].union(few[1]).select("key")), "key").collect()}
-    keys = [r["key"] for r in rows if r["key"] in own]
-    mark = np.array([r["label"] for r in rows if r["key"] in own], int)
-    vectors = [(own[q][0], _unit((1 + np.log(own[q][1])) * idf[own[q][0]])) for q in keys]
-    index = BlockMaxIndex.build(np.array(keys), mark, vectors, len(vocabulary))
+    at = np.searchsorted(vocabulary, found).astype(np.int32)
+    del found
+    ends = np.cumsum(np.append(0, sizes_of)) if len(vocabulary) else np.zeros(len(keys) + 1, int)
+    own = [(at[a:b], often[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # Examples that say the same word most often stand together: blocks of like texts have low bounds for others.
+    order = sorted(range(len(own)), key=lambda i: (own[i][0][np.lexsort((-df[own[i][0]], -own[i][1]))[0]] if len(own[i][0]) else -1, i))
+    place = np.full(len(vocabulary), -1)
+    if len(vocabulary):
+        told = telling_terms(np.repeat(np.arange(len(keys), dtype=np.int32), sizes_of), at, len(vocabulary), mark, terms)
+        place[told] = np.arange(len(told))
+    own, mark = [own[i] for i in order], mark[order]
+    model = Model(vocabulary, idf, None, place, None, {}, 0.5, k)
+    both = [model.vectors(t, c) for t, c in own]
+    names = np.array([keys[i] for i in order])
+    model.index = BlockMaxIndex.build(names, mark, [(t, w) for (t, _), (w, _, _) in zip(own, both, strict=True)], len(vocabulary))
+    model.telling = BlockMaxIndex.build(names, mark, [(t, w) for _, t, w in both], int((place >= 0).sum()))
+    del both
     # Each class weighs as all its labelled rows do.
     weight = np.array([sizes.get(v, 0) / max(1, int((mark == v).sum())) for v in (0, 1)])[mark] if len(mark) else np.zeros(0)
-    votes, truth, weights, silent = [], [], [], [0.5, 1.0]
-    for i, (t, w) in enumerate(vectors):
-        ids, cosines = index.search(t, w, k, without=i) if len(t) else (np.zeros(0, int), np.zeros(0))
-        if len(ids):
-            votes.append((cosines * mark[ids]).sum() / cosines.sum())
-            truth.append(mark[i])
-            weights.append(weight[i])
-        else:
+    # Half a case of either kind at the ends keeps scores off 0 and 1 without evidence.
+    votes: dict[bool, list[tuple[float, float, float]]] = {told: [(0.0, 0.5, 1.0), (1.0, 0.5, 1.0)] for told in (False, True)}
+    silent = [0.5, 1.0]
+    for i, (t, c) in enumerate(own):
+        value, told, _, _ = model.vote(t, c, without=i)
+        if value is None:
             silent[0] += weight[i] * mark[i]
             silent[1] += weight[i]
-    # Half a case of either kind at the ends keeps scores off 0 and 1 without evidence.
-    x, y, w = np.array([0.0, 1.0, *votes]), np.array([0.5, 0.5, *truth]), np.array([1.0, 1.0, *weights])
-    return Model(vocabulary, idf, index, _isotonic(x, y, w), silent[0] / silent[1], k), counts
+        else:
+            votes[told].append((value, mark[i], weight[i]))
+    model.calibrations = {told: _isotonic(*np.array(v, float).T) for told, v in votes.items()}
+    model.silent = silent[0] / silent[1]
+    return model, counts
 
 
 def score(docs_counts: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """key, score (double), predicted (int) and evidence: the nearest examples' ids, labels and cosines.
 
     Takes the counts that fit() returns, so each row of the documents gives one row; null and empty texts, and texts
-    without a chosen term, have no neighbours and get the score that such examples have. Model and index are bounded by
-    the numbers of examples and terms, and go to the tasks with the function.
+    that share no term with the examples, have no neighbours and get the score that such examples have. Model and index
+    are bounded by the number and length of the examples, and go to the tasks with the function.
     """
     kind = docs_counts.schema["key"].dataType.simpleString()
 

@@ -419,6 +419,18 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(no_rows, none).count() == 0
 
 
+def test_toxicity_searches_all_terms(spark):
+    from .conftest import SCHEMA
+
+    # No word tells the labels apart, and each but the last stands in two documents only.
+    name = lambda i: chr(97 + i // 10) + chr(97 + i % 10)
+    rows = [(i, f"{name(i // 2)}one {name(i // 2)}two {name(i // 2)}three {name(i)}own", "en", "s", 0) for i in range(40)]
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, i // 2 % 2) for i in range(0, 40, 2)], "doc_id long, toxic int")
+    model, counts = toxicity.fit(docs, marks)
+    for r in toxicity.score(counts, model).collect():
+        assert r["evidence"][0]["example"] == r["key"] // 2 * 2 and r["evidence"][0]["label"] == r["key"] // 2 % 2
+
+
 # The pipeline
 
 
