@@ -2,7 +2,7 @@
 
 The file's own vocabulary drives tiktoken's merge loop, which is several times as fast. That holds for byte-pair
 models whose ids follow the order of their merges, and for texts of plain letters, digits, punctuation and white
-space; any other text goes to the tokenizers library itself.
+space that hold no added token's string; any other text goes to the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -48,18 +48,25 @@ def _set_apart(m: re.Match) -> str:
 
 
 class Encoder:
-    """``encode(text)`` gives the ids of a whole text, special tokens' strings counting as ordinary text."""
+    """``encode(text)`` gives the ids of a whole text, as the library's encode with add_special_tokens=False.
 
-    def __init__(self, path: str):
+    ``literal`` takes special tokens' strings for ordinary text, as the library does with encode_special_tokens set;
+    without it they give the special tokens' ids, which is the library's default.
+    """
+
+    def __init__(self, path: str, literal: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, special = spec["model"], {t["id"] for t in spec["added_tokens"]}
+        # Some added tokens are looked for in the normalised text, so case doesn't count for these.
+        added = "|".join(f"(?i:{re.escape(t['content'])})" if t["normalized"] else re.escape(t["content"]) for t in spec["added_tokens"] if t["content"])
+        self.added = re.compile(added) if added and not literal else None
         end = model.get("end_of_word_suffix")
         byte, ranks = _byte_of_letter(), {}
         for token, i in model["vocab"].items():
@@ -73,7 +80,7 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        if _ODD.search(text):
+        if _ODD.search(text) or (self.added and self.added.search(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         if not self.words:
             return self.fast.encode_ordinary(text)
@@ -95,11 +102,11 @@ class Encoder:
         return self.array(text, end).tobytes()
 
 
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and process."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+def encoder(path: str, literal: bool = True) -> Encoder:
+    """One encoder for each file, way and process."""
+    if (path, literal) not in _loaded:
+        _loaded[path, literal] = Encoder(path, literal)
+    return _loaded[path, literal]

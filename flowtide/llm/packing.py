@@ -50,12 +50,12 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, salt: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, salt: int = 0, literal: bool = True) -> DataFrame:
     """Pieces of all documents, laid into sequences: ``id_col``, start, length, doc_tokens, sequence_id, offset (long)
     and ids (binary, little-endian unsigned 32-bit).
 
-    A document is its ids by the tokenizer file plus ``end_id``; null and empty texts are ``end_id`` alone. Each id lies
-    in exactly one piece. Repeated rows and rows with a null id are packed each on its own; other columns of ``docs``
+    A document is its ids by the tokenizer file plus ``end_id``; null and empty texts are ``end_id`` alone; ``literal``
+    as in Encoder. Each id lies in exactly one piece. Repeated rows and rows with a null id are packed each on its own; other columns of ``docs``
     play no part. Ties go to the smaller id, then the smaller text; an empty table gives no pieces.
     """
     groups = max(partitions(docs.sparkSession), math.ceil(docs.count() / group_docs))
@@ -63,7 +63,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     id_type = dealt.schema["id"].dataType
 
     def run(table: pa.Table) -> pa.Table:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, literal)
         base = table.column("group")[0].as_py() << 31
         rows = sorted(zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1] or ""))
         out: list[list] = [[], [], [], [], [], [], []]

@@ -39,7 +39,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), literal=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -70,7 +70,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three commits: all documents inserted, every count revised by the end id that training adds to each
     document, and that batch committed again as after a lost answer."""
     versions = {name: public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k")}
-    counts = written(token_counts.count_tokens(documents(spark, sf_dir), versions, keep=["source", "lang"]), "token-counts")
+    counts = written(token_counts.count_tokens(documents(spark, sf_dir), versions, keep=["source", "lang"], literal=False), "token-counts")
     rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
     rollup.commit("load", counts.select("*", F.lit("insert").alias("kind"), F.lit(0).alias("old_tokens")))
     revised = counts.withColumns({"kind": F.lit("revise"), "old_tokens": F.col("n_tokens"), "n_tokens": F.col("n_tokens") + 1})
@@ -93,7 +93,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = token_store.write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    store = token_store.write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), literal=False)
     return store.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

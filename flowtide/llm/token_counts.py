@@ -21,16 +21,17 @@ KEYS = ("source", "lang", "tokenizer")
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "text", keep: list[str] | None = None, literal: bool = True) -> DataFrame:
     """``docs`` once for each tokenizer version (name to file), with tokenizer (string) and n_tokens (long).
 
-    Null and empty texts count 0. Each text is read once and encoded whole by every version.
+    Null and empty texts count 0. Each text is read once and encoded whole by every version;
+    ``literal`` as in Encoder.
     """
     names = list(tokenizers)
 
     def compute(column: pa.Array) -> list:
         texts = [t or "" for t in column.to_pylist()]
-        return [[[len(encoder(path).encode(t)) for path in tokenizers.values()] for t in texts]]
+        return [[[len(encoder(path, literal).encode(t)) for path in tokenizers.values()] for t in texts]]
 
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("tokenizer", "n_tokens")]
     counted = add_columns(docs.select("*"), text_col, compute, "counts array<long>", kept)

@@ -147,20 +147,20 @@ def _bucketed(df: DataFrame, name: str, parts: int) -> str:
     return table
 
 
-def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> TokenStore:
+def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, literal: bool = True) -> TokenStore:
     """Encodes every whole text with the tokenizer file, ``end_id`` behind each, and stores the ids.
 
-    Null and empty texts are ``end_id`` alone. A document is an id: of rows that share one, the greatest text is stored;
+    Null and empty texts are ``end_id`` alone; ``literal`` as in Encoder. A document is an id: of rows that share one, the greatest text is stored;
     rows with a null id are not. Other columns play no part. An empty table gives an empty store.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    kind = "<u2" if encoder(tokenizer).size <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    kind = "<u2" if encoder(tokenizer, literal).size <= 1 << 16 and end_id < 1 << 16 else "<u4"
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(tokenizer), None
+        enc, last = encoder(tokenizer, literal), None
         for batch in batches:
             for part in slices(batch, "text"):
                 out: list[list] = [[], [], [], []]

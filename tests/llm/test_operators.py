@@ -41,6 +41,30 @@ def test_encoder_gives_the_librarys_ids(path, docs):
         assert [*e.encode(text), 9] == library_ids(path, text, 9)
 
 
+@pytest.mark.parametrize(("path", "ids"), [(BYTE, [31373, 220, 50256, 612]), (WORD, None)])
+def test_special_tokens_as_the_library_gives_them(path, ids):
+    e, t = encoders.Encoder(path, literal=False), Tokenizer.from_file(path)
+    for text in ["hello <|endoftext|> there", "<|startoftext|>", "a<|endoftext|><|endoftext|>B 12", "<|EndOfText|> x", "<| endoftext|>", "none's here", "日<|endoftext|>"]:
+        assert e.encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert ids is None or e.encode("hello <|endoftext|> there") == ids
+
+
+def test_queries_give_the_librarys_ids(spark, tmp_path):
+    from flowtide.llm import queries, stages
+
+    from .conftest import SCHEMA
+
+    text = "hello <|endoftext|> there <|startoftext|>"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {path: Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids for path in (BYTE, WORD)}
+    assert queries.op4_packing(spark, str(tmp_path)).first()["ids_crc32"] == crc([*want[BYTE], packing.END_ID])
+    assert queries.op9_token_store(spark, str(tmp_path)).first()["ids_crc32"] == crc([*want[WORD], token_store.END_ID])
+    totals = {r["tokenizer"]: r["n_tokens"] for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert totals == {"byte_bpe_50k": len(want[BYTE]) + 1, "word_bpe_49k": len(want[WORD]) + 1}
+    piece = stages.token_packing(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).first()
+    assert bytes(piece["ids"]) == np.array([*want[BYTE], packing.END_ID], "<u4").tobytes()
+
+
 # Quality
 
 
