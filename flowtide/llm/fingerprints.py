@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs are its lines, those over 1000 characters cut there; each distinct one gives a 64-bit key. A sketch
+A text's paragraphs are its lines, those over a number of characters (240 in the query) cut there; each distinct one gives a 64-bit key. A sketch
 has three tables of cells; a key is counted and XORed into one cell of each. Subtracting two sketches leaves the keys
 that only one text holds. Peeling finds them: a cell with a count of 1 or -1 whose key passes its own check shows a key,
 which is taken out of its other cells, and so on. Where cells remain, both sketches are made again four times as large.
@@ -17,15 +17,16 @@ from .common import partitions, written
 
 #: Cells of each of the three tables at first, and the rounds of peeling.
 CELLS, ROUNDS, TABLES = 16, 24, 3
-_PARAGRAPH = r"[^\n]{1,1000}"
+#: Characters of a paragraph at most: by default, and in the query, where a change shall spoil little of a short text.
+LONGEST, FINE = 1000, 240
 _CHECK_BITS = 24
 _CELL = "array<struct<n:bigint,k:bigint>>"
 
 
-def paragraph_keys(text: Column) -> Column:
+def paragraph_keys(text: Column, longest: int = LONGEST) -> Column:
     """The distinct paragraphs' keys: 40 bits of digest, 24 bits that check them. Null and blank texts have none."""
     digest = lambda p: F.shiftrightunsigned(F.xxhash64(p), _CHECK_BITS)
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PARAGRAPH), F.lit(0)), lambda p: _checked(digest(p))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\n]{{1,{longest}}}"), F.lit(0)), lambda p: _checked(digest(p))))
 
 
 def _check(digest: Column) -> Column:
@@ -127,7 +128,7 @@ def with_next(ids: DataFrame, id_col: str) -> DataFrame:
     return ranged.withColumn("__inside", inside).join(F.broadcast(following), "__range").withColumn("next_id", F.coalesce("__inside", "__following")).drop("__range", "__inside", "__following")
 
 
-def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """Each document beside an edited version of it: id_col, n_chars, next_id, edited, keys, edited_keys, next_keys.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
@@ -137,8 +138,8 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where(F.col(id_col).isNotNull())
     links = with_next(texts.groupBy(id_col).agg(F.max(F.length("text")).alias("n_chars")), id_col)
     before = links.select(F.col("next_id").alias(id_col), F.col(id_col).alias("previous"), F.floor(F.col("n_chars") / 2).cast("int").alias("wanted"))
-    heads = texts.join(before, id_col).select(F.col("previous").alias(id_col), F.expr("substring(text, 1, wanted)").alias("head"), paragraph_keys(F.col("text")).alias("next_keys"), F.col(id_col).alias("next_id"))
+    heads = texts.join(before, id_col).select(F.col("previous").alias(id_col), F.expr("substring(text, 1, wanted)").alias("head"), paragraph_keys(F.col("text"), longest).alias("next_keys"), F.col(id_col).alias("next_id"))
     half = F.floor(F.length("text") / 2).cast("int")
     both = texts.join(heads, id_col)
     both = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.col("head")))
-    return both.select(id_col, "n_chars", "next_id", "edited", paragraph_keys(F.col("text")).alias("keys"), paragraph_keys(F.col("edited")).alias("edited_keys"), "next_keys")
+    return both.select(id_col, "n_chars", "next_id", "edited", paragraph_keys(F.col("text"), longest).alias("keys"), paragraph_keys(F.col("edited"), longest).alias("edited_keys"), "next_keys")

@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = fingerprints.edited_versions(documents(spark, sf_dir))
+    versions = fingerprints.edited_versions(documents(spark, sf_dir), longest=fingerprints.FINE)
     sketched = {f"{c}_sketch": fingerprints.sketch(F.col(c)) for c in ("keys", "edited_keys", "next_keys")}
     kept = written(versions.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited").withColumns(sketched), "versions")
     edited = fingerprints.compare(kept.select("doc_id", "keys", "edited_keys", "keys_sketch", "edited_keys_sketch"), "keys", "edited_keys", sketches=("keys_sketch", "edited_keys_sketch"))

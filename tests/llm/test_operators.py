@@ -394,6 +394,21 @@ def test_equal_texts_have_equal_fingerprints(docs):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_fingerprints_of_one_line_texts_keep_their_likeness(spark, tmp_path):
+    from flowtide.llm import queries
+
+    from .conftest import SCHEMA
+
+    texts = {i: "".join(f"{i} {k} " for k in range(150))[:900] for i in range(3)}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = lambda t: set(re.findall(r"[^\n]{1,240}", t))
+    for r in queries.op2_fingerprints(spark, str(tmp_path)).collect():
+        t, nxt = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 3]
+        half = len(t) // 2
+        a, b = pieces(t), pieces(t[: len(t) - half] + nxt[:half])
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and r["near_edited"] > 0
+
+
 # Toxicity
 
 
