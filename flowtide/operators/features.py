@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import session_label
-from ..plans.series import DAY_NS, SLICE_NS, asof, previous, seconds, trailing
+from ..plans.series import DAY_NS, SLICE_NS, asof, prefix_sum, previous, seconds, trailing
 
 SHORT, LONG, PRIOR_RATE, PRIOR_WEIGHT = 60.0, 900.0, 0.5, 5.0
 CORE = ("spread", "obi", "micro_dev", "rv_short", "rv_long", "vol_short", "vol_long", "size_rel_vol", "tick_rate", "spread_mean", "spread_rel", "dt_last_tick", "sec_of_day")
+#: Rows of a part that fractional differencing works on at once, at least.
+ROWS = 4096
 ALL = (*CORE, "vpin", "vpin_pctile", "size", "cp_toxic_rate_hist", "cp_fill_count", "is_client_buy")
 
 
@@ -110,12 +112,21 @@ def ffd_weights(d: float, least: float = 1e-4, most: int = 10_000) -> list[float
     return weights[::-1]
 
 
-def frac_diff(df: DataFrame, column: str, d: float, out: str | None = None, by: Sequence[str] = (), order: Sequence[str] = ("ts_ns", "seq"), least: float = 1e-4) -> DataFrame:
-    """``df`` with the fractional difference of a column: null until the window is full and where it holds a null."""
+def frac_diff(df: DataFrame, column: str, d: float, out: str | None = None, by: Sequence[str] = (), order: Sequence[str] = ("ts_ns", "seq"), least: float = 1e-4, slice_ns: int = SLICE_NS) -> DataFrame:
+    """``df`` with the fractional difference of a column: null until the window is full and where it holds a null.
+
+    Rows are numbered in time slices of the first column of ``order`` (whole nanoseconds) and cut into parts of so many
+    rows; the last rows of a part, as many as a window may reach back, go to the next part too.
+    """
     weights = ffd_weights(d, least)
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(len(weights) - 1), 0)
+    rows = max(ROWS, len(weights))
+    df = prefix_sum(df, F.lit(1).cast("long"), "_row", by, slice_ns, order, order[0])
+    lent = F.pmod(F.col("_row") - 1, F.lit(rows)) > rows - len(weights)
+    df = df.withColumn("_later", F.explode(F.when(lent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    df = df.withColumn("_part", F.floor((F.col("_row") - 1) / rows) + F.col("_later"))
+    w = Window.partitionBy(*by, "_part").orderBy("_row").rowsBetween(-(len(weights) - 1), 0)
     held = F.collect_list(F.struct(F.col(column).alias("x"))).over(w)  # a struct keeps nulls in the list
     total = F.aggregate(F.zip_with(held, F.lit(weights), lambda h, c: h["x"] * c), F.lit(0.0), lambda a, b: a + b)
-    return df.withColumn("_held", F.size(held)).withColumn(out or f"{column}_ffd", F.when(F.col("_held") == len(weights), total)).drop("_held")
+    return df.withColumn("_held", F.size(held)).withColumn(out or f"{column}_ffd", F.when(F.col("_held") == len(weights), total)).where("_later = 0").drop("_held", "_row", "_later", "_part")
 
 

@@ -39,9 +39,9 @@ def _attach(df: DataFrame, per_slice: DataFrame, by: Sequence[str]) -> DataFrame
     return df.join(per_slice, [*by, _SLICE], "left")
 
 
-def prefix_sum(df: DataFrame, value: Column, out: str, by: Sequence[str] = (), slice_ns: int = SLICE_NS, order: Sequence[str] = ("ts_ns", "seq")) -> DataFrame:
+def prefix_sum(df: DataFrame, value: Column, out: str, by: Sequence[str] = (), slice_ns: int = SLICE_NS, order: Sequence[str] = ("ts_ns", "seq"), ts: str = "ts_ns") -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` up to each row, itself included."""
-    d = sliced(df.withColumn("_v", value), slice_ns)
+    d = sliced(df.withColumn("_v", value), slice_ns, ts)
     totals = d.groupBy(*by, _SLICE).agg(F.sum("_v").alias("_t"))
     before = totals.withColumn("_b", F.sum("_t").over(_over_slices(by).rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
     summed = _attach(d, before, by).withColumn(out, F.coalesce("_b", F.lit(0)) + F.sum("_v").over(inside(by, order).rowsBetween(Window.unboundedPreceding, 0)))

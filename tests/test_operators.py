@@ -160,6 +160,25 @@ def test_ema_and_rsi(spark):
     assert rsi[:2] == [None, None] and rsi[2] == pytest.approx(100 - 100 / (1 + 1.0 / 0.5))
 
 
+def test_fracdiff_in_parts_equals_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(features, "ROWS", 300, raising=False)
+    day = 86_400_000_000_000
+    xs = [None if i == 700 else math.sin(i) + i / 100 for i in range(1500)]
+    d = spark.createDataFrame([(i * day // 50, i, x) for i, x in enumerate(xs)], "ts_ns long, seq long, mid double")
+    made = features.frac_diff(d, "mid", 0.4)
+    assert made.columns == ["ts_ns", "seq", "mid", "mid_ffd"]
+    assert "_part" in made._jdf.queryExecution().toString()  # no window over the whole series
+    got = {r["seq"]: r["mid_ffd"] for r in made.collect()}
+    w = features.ffd_weights(0.4)
+    assert len(got) == 1500 and len(w) == 282
+    for i in range(1500):
+        held = xs[max(0, i - len(w) + 1) : i + 1]
+        if len(held) < len(w) or None in held:
+            assert got[i] is None
+        else:
+            assert abs(got[i] - sum(a * b for a, b in zip(held, w))) < 1e-9
+
+
 def test_fracdiff_weights():
     assert features.ffd_weights(0.0) == [1.0]
     assert features.ffd_weights(1.0)[-1] == 1.0 and features.ffd_weights(1.0)[-2] == -1.0
