@@ -9,37 +9,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bins of scores in [0, 1]; what lies outside goes to the first or last.
+SCORE_BINS = 65_536
+
+
 def tied_counts(scored: DataFrame, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
-    """One row for each distinct score: n and pos (weighted), and both summed over all lower scores."""
+    """One row for each distinct score: n and pos (weighted), both summed over all lower scores, and both over all.
+
+    Windows run within a bin of scores; a table of one row a bin (SCORE_BINS at most) carries the sums of lower bins.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
-    per = scored.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(score).alias("s")).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("pos"))
-    lower = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumns({"n_below": F.coalesce(F.sum("n").over(lower), F.lit(0.0)), "pos_below": F.coalesce(F.sum("pos").over(lower), F.lit(0.0))})
+    known = scored.where(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+    per = known.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("pos"))
+    spot = F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS
+    per = per.withColumn("bin", F.floor(spot).cast("int"))
+    lower, everything = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    bins = per.groupBy("bin").agg(F.sum("n").alias("bin_n"), F.sum("pos").alias("bin_pos"))
+    bins = bins.select(
+        "bin",
+        F.coalesce(F.sum("bin_n").over(lower), F.lit(0.0)).alias("before_n"),
+        F.coalesce(F.sum("bin_pos").over(lower), F.lit(0.0)).alias("before_pos"),
+        F.sum("bin_n").over(everything).alias("all_n"),
+        F.sum("bin_pos").over(everything).alias("all_pos"),
+    )
+    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = {f"{c}_below": F.col(f"before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c in ("n", "pos")}
+    return per.join(F.broadcast(bins), "bin").withColumns(below).select("s", "n", "pos", "n_below", "pos_below", "all_n", "all_pos")
 
 
 def evaluate(scored: DataFrame, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
     """One row: n, base_rate, auc, avg_precision, brier, log_loss, brier_baseline, brier_skill.
 
-    Ties share their rank in auc and their threshold in avg_precision. With one class alone auc, avg_precision and the
-    skill are null.
+    Ties share their rank in auc and their threshold in avg_precision. With one class alone all but n and base_rate are
+    null. n is a count (long) unless rows are weighted.
     """
     t = tied_counts(scored, score, label, weight)
-    t = t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("_all"), F.sum("pos").alias("_all_pos"))))
     neg, neg_below = F.col("n") - F.col("pos"), F.col("n_below") - F.col("pos_below")
-    at_least_pos, at_least = F.col("_all_pos") - F.col("pos_below"), F.col("_all") - F.col("n_below")
+    at_least_pos, at_least = F.col("all_pos") - F.col("pos_below"), F.col("all_n") - F.col("n_below")
     p = F.least(F.greatest(F.col("s"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    square = F.col("pos") * (F.col("s") - 1) * (F.col("s") - 1) + neg * F.col("s") * F.col("s")
     d = t.agg(
-        F.max("_all").alias("n"),
-        F.max(F.col("_all_pos") / F.col("_all")).alias("base_rate"),
+        F.coalesce(F.max("all_n"), F.lit(0.0)).alias("n"),
+        F.max(F.col("all_pos") / F.col("all_n")).alias("base_rate"),
         F.sum(F.col("pos") * (neg_below + neg / 2)).alias("_won"),
-        F.max(F.col("_all_pos") * (F.col("_all") - F.col("_all_pos"))).alias("_pairs"),
-        (F.sum(F.col("pos") * at_least_pos / at_least) / F.nullif(F.max("_all_pos"), F.lit(0.0))).alias("_ap"),
-        (F.sum(F.col("pos") * (F.col("s") - 1) * (F.col("s") - 1) + neg * F.col("s") * F.col("s")) / F.max("_all")).alias("brier"),
-        (-F.sum(F.col("pos") * F.log(p) + neg * F.log(1 - p)) / F.max("_all")).alias("log_loss"),
+        F.max(F.col("all_pos") * (F.col("all_n") - F.col("all_pos"))).alias("_pairs"),
+        (F.sum(F.col("pos") * at_least_pos / at_least) / F.nullif(F.max("all_pos"), F.lit(0.0))).alias("_ap"),
+        (F.sum(square) / F.max("all_n")).alias("_brier"),
+        (-F.sum(F.col("pos") * F.log(p) + neg * F.log(1 - p)) / F.max("all_n")).alias("_log_loss"),
     )
-    both = F.col("_pairs") > 0
     base = F.col("base_rate") * (1 - F.col("base_rate"))
-    return d.select("n", "base_rate", F.when(both, F.col("_won") / F.col("_pairs")).alias("auc"), F.when(both, F.col("_ap")).alias("avg_precision"), "brier", "log_loss", F.when(both, base).alias("brier_baseline"), F.when(both, 1 - F.col("brier") / base).alias("brier_skill"))
+    values = {
+        "auc": F.col("_won") / F.col("_pairs"),
+        "avg_precision": F.col("_ap"),
+        "brier": F.col("_brier"),
+        "log_loss": F.col("_log_loss"),
+        "brier_baseline": base,
+        "brier_skill": 1 - F.col("_brier") / base,
+    }
+    n = F.col("n") if weight else F.col("n").cast("long")
+    return d.select(n.alias("n"), "base_rate", *[F.when(F.col("_pairs") > 0, v).alias(k) for k, v in values.items()])
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, out: str = "bin") -> DataFrame:

@@ -393,7 +393,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 cum AS (SELECT *, coalesce(sum(n) OVER w, 0) AS nb, coalesce(sum(p) OVER w, 0) AS pb, sum(n) OVER () AS nn, sum(p) OVER () AS pp FROM per WINDOW w AS (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT any_value(nn) AS n, any_value(pp) / any_value(nn) AS base_rate, sum(p * ((nb - pb) + (n - p) / 2)) / (any_value(pp) * (any_value(nn) - any_value(pp))) AS auc, sum(p * (pp - pb) / (nn - nb)) / any_value(pp) AS ap,
   (SELECT avg((score - label) * (score - label)) FROM t) AS brier, (SELECT -avg(label * ln(least(greatest(score, 1e-9), 1 - 1e-9)) + (1 - label) * ln(1 - least(greatest(score, 1e-9), 1 - 1e-9))) FROM t) AS ll FROM cum)
-SELECT n, {r('base_rate')} AS base_rate, {r('auc')} AS auc, {r('ap')} AS avg_precision, {r('brier')} AS brier, {r('ll')} AS log_loss, {r('base_rate * (1 - base_rate)')} AS brier_baseline, {r('1 - brier / (base_rate * (1 - base_rate))')} AS brier_skill FROM m""")
+SELECT n::BIGINT AS n, {r('base_rate')} AS base_rate,
+  CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('auc')} END AS auc,
+  CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('ap')} END AS avg_precision,
+  CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('brier')} END AS brier,
+  CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('ll')} END AS log_loss,
+  CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('base_rate * (1 - base_rate)')} END AS brier_baseline,
+  CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('1 - brier / (base_rate * (1 - base_rate))')} END AS brier_skill
+FROM m""")
 def evaluation(spark, sf_dir):
     return rounded(metrics.evaluate(scored(spark, sf_dir)))
 

@@ -82,7 +82,7 @@ def read_truefx(spark: SparkSession, path: str) -> DataFrame:
     return finish(d.withColumn("timestamp", parse_time(F.col("timestamp"), TRUEFX_TIME)))
 
 
-def read_histdata(spark: SparkSession, path: str, spread_pips: float = 1.0, pip: float = 1e-4) -> DataFrame:
+def read_histdata(spark: SparkSession, path: str, spread_pips: float = 0.8, pip: float = 1e-4) -> DataFrame:
     """Bars of one minute; quotes stand half of ``spread_pips`` around the close, volume counts 1."""
     d = _headless(spark, path, HISTDATA_COLUMNS, sep=";")
     close, half = F.expr("try_cast(close AS double)"), 0.5 * spread_pips * pip
