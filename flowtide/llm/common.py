@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,7 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +21,16 @@ _own_scratch: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (one machine) gets a temporary folder and a cluster one under the warehouse.
+    """
     global _own_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="flowtide-")
     return _own_scratch
@@ -152,6 +158,15 @@ def counts_between(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def packed_row(columns: list[str]) -> Column:
+    """The columns as one struct, ``row``, whose fields have names by place, so that no column's name can clash."""
+    return F.struct(F.lit(True).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)]
+
+
 def add_columns(docs: DataFrame, text_col: str, compute: Callable[[pa.Array], list], fields: str, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the columns of ``fields`` (DDL), which ``compute`` makes from the texts of a slice.
 
@@ -159,7 +174,7 @@ def add_columns(docs: DataFrame, text_col: str, compute: Callable[[pa.Array], li
     """
     new = T._parse_datatype_string(fields)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
-    packed = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    packed = docs.select(packed_row(kept), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +183,7 @@ def add_columns(docs: DataFrame, text_col: str, compute: Callable[[pa.Array], li
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["row", *new.names])
 
     done = packed.mapInArrow(run, T.StructType([packed.schema["row"], *new.fields]))
-    return done.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col(c) for c in new.names])
+    return done.select(*unpacked(kept), *[F.col(c) for c in new.names])
 
 
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binaries, mix64, partitions, slices, written
+from .common import binaries, mix64, packed_row, partitions, slices, unpacked, written
 
 #: Keys shorter than this many code points are never dropped.
 MIN_CHARS = 10
@@ -108,7 +108,7 @@ def distinct_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -
                 h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc", "h1", "h2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(explode, "doc long, h1 long, h2 long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(explode, "doc long, h1 long, h2 long")
 
 
 def shard_index(shared: DataFrame) -> DataFrame:
@@ -170,7 +170,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = at_once.union(found).groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    numbered = docs.select(F.struct(F.lit(True), *[c for c in kept if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    passed = [c for c in kept if c != text_col]
+    numbered = docs.select(packed_row(passed), F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").alias("text"))
     joined = numbered.join(drops, numbered["key"] == drops["doc"], "left").select("row", "text", "drop")
     text_type = docs.schema[text_col].dataType
 
@@ -199,5 +200,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = T.StructType([T.StructField("row", numbered.schema["row"].dataType), T.StructField("text", text_type), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     done = joined.mapInArrow(rewrite, schema)
-    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
-    return done.select(*columns, "n_lines", "n_dropped")
+    found = dict(zip(passed, unpacked(passed), strict=True))
+    return done.select(*[found.get(c, F.col("text").alias(c)) for c in kept], "n_lines", "n_dropped")
