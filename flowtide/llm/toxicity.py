@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their beginnings, all that stand in the examples, a bounded sample of labelled rows. Document
-frequencies count over all documents. The index keeps each term's postings in blocks of examples with the largest
-weight of each block; a search opens blocks in the order of their upper bounds and stops when no closed block can reach
-the k-th best cosine, so the neighbours are exact. Their votes are weighted by cosine. A few telling words hardly move
-the cosine of a long text, so a second search, over the terms that tell the labels apart, votes too where a text holds
-such terms. Votes are calibrated on the examples themselves, each left out in turn.
+frequencies count over all documents. The index keeps rare terms as postings and common ones as rows of a matrix, both in blocks of examples, with
+the largest weight of each common term in each block; a search opens a text's blocks in the order of their upper bounds
+and stops when no closed block can reach the k-th best cosine, so the neighbours are exact. Their votes are weighted by
+cosine. A few telling words hardly move the cosine of a long text, so a second search, over the terms that tell the
+labels apart, votes too where a text holds such terms. Votes are calibrated on the examples themselves, each left out
+in turn. Neither ids nor labels of a text play a part in its score: examples are picked and ordered by their texts.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Spans, add_columns, mix64, runs_of, text_bytes, written
 
-#: Labelled examples of each class, at most (those with the lowest hashes of their ids), and telling terms.
-EXAMPLES, TERMS = 4000, 2000
+#: Labelled examples of each class, at most (those with the lowest hashes of their texts), and telling terms.
+EXAMPLES, TERMS = 2000, 2000
 NEIGHBOURS, BLOCK = 15, 64
 #: Bytes of the beginnings of words that count as terms; a telling term stands in at least so many examples.
-BEGINNINGS, LEAST_EXAMPLES = (4, 5, 6), 4
+BEGINNINGS, LEAST_EXAMPLES = (5, 6), 4
+#: Terms that stand in more than one in so many examples are common.
+COMMON = 8
+#: Texts that are searched for together.
+BATCH = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[0x80:] = True
 
@@ -88,69 +92,78 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term and block, and the largest weight of each term in each block."""
+    """Examples by term. Columns are examples, filled up to whole blocks."""
 
     doc_ids: np.ndarray
     labels: np.ndarray
-    offsets: np.ndarray  # of the blocks of each term
-    blocks: np.ndarray
-    tops: np.ndarray
-    starts: np.ndarray  # of the postings of each term's block
+    offsets: np.ndarray  # of each rare term's postings
     examples: np.ndarray
     weights: np.ndarray
+    row: np.ndarray  # of each common term, -1 for rare ones
+    common: np.ndarray  # common terms x columns
+    tops: np.ndarray  # common terms x blocks: the largest weight
 
     @classmethod
-    def build(cls, doc_ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
-        """``rows`` has the terms and unit-length weights of each example."""
-        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
-        term = np.concatenate([t for t, _ in rows] or [np.zeros(0, int)])
-        weight = np.concatenate([w for _, w in rows] or [np.zeros(0)])
-        n_blocks = max(1, -(-len(rows) // BLOCK))
-        order = np.argsort(term, kind="stable")
-        example, weight, keys = example[order], weight[order], term[order].astype(np.int64)
-        del term, order
-        keys *= n_blocks
-        keys += example // BLOCK
-        starts = np.flatnonzero(np.diff(keys, prepend=-1))
-        keys = keys[starts]
-        tops = np.maximum.reduceat(weight, starts) if len(starts) else np.zeros(0)
-        return cls(doc_ids, labels, np.searchsorted(keys // n_blocks, np.arange(terms + 1)), (keys % n_blocks).astype(np.int32), tops, np.append(starts, len(weight)).astype(np.int32), example, weight)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosines above 0 and these, best first, ties to the earlier example.
-
-        ``without`` names an example that is left out.
+    def build(cls, doc_ids: np.ndarray, labels: np.ndarray, offsets: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> BlockMaxIndex:
+        """``term`` and ``weight`` (of unit length for each example) from offsets[i] on are those of example i."""
+        n = len(labels)
+        blocks = max(1, -(-n // BLOCK))
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+        df = np.bincount(term, minlength=terms)
+        row = np.full(terms, -1)
+        often = np.flatnonzero(df * COMMON > n)
+        row[often] = np.arange(len(often))
+        common = np.zeros((len(often), blocks * BLOCK))
+        dense = row[term] >= 0
+        common[row[term[dense]], example[dense]] = weight[dense]
+        order = np.argsort(term[~dense], kind="stable")
+        postings = np.concatenate(([0], np.cumsum(np.where(row < 0, df, 0))))
+        return cls(doc_ids, labels, postings, example[~dense][order], weight[~dense][order], row, common, common.reshape(len(often), blocks, BLOCK).max(2, initial=0.0))
+
+    def search(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text (its terms and weights start at its offset) the k examples of the largest cosines above 0, best
+        first, ties to the earlier example: places (-1 where there are fewer) and cosines.
+
+        ``without`` names an example for each text that is left out.
         """
-        n_blocks = max(1, -(-len(self.labels) // BLOCK))
-        lengths = self.offsets[terms + 1] - self.offsets[terms]
-        here, w = _ranges(self.offsets[terms], lengths), np.repeat(weights, lengths)
-        block = self.blocks[here]
-        bounds = np.bincount(block, w * self.tops[here], minlength=n_blocks)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        ids, scores, least, start, step = np.zeros(0, int), np.zeros(0), 0.0, 0, 8
-        while start < len(order):
-            chunk = order[start : start + step]
-            if len(ids) == k:
-                chunk = chunk[bounds[chunk] >= least - 1e-11]
-                if not len(chunk):
-                    break
-            opened = np.zeros(n_blocks, bool)
-            opened[chunk] = True
-            mine = np.flatnonzero(opened[block])
-            first = self.starts[here[mine]]
-            lengths = self.starts[here[mine] + 1] - first
-            at = _ranges(first, lengths)
-            cosines = np.round(np.bincount(self.examples[at], np.repeat(w[mine], lengths) * self.weights[at], minlength=len(self.labels)), 12)
-            if without >= 0:
-                cosines[without] = 0
-            new = np.flatnonzero(cosines > 0 if len(ids) < k else cosines >= least)
-            ids, scores = np.concatenate((ids, new)), np.concatenate((scores, cosines[new]))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            least = scores[-1] if len(scores) == k else 0.0
-            start, step = start + len(chunk), 2 * step
-        return ids, scores
+        n, (blocks, width) = len(offsets) - 1, (self.tops.shape[1], self.common.shape[1])
+        text = np.repeat(np.arange(n), np.diff(offsets))
+        rare = self.row[terms] < 0
+        lengths = self.offsets[terms[rare] + 1] - self.offsets[terms[rare]]
+        at = _ranges(self.offsets[terms[rare]], lengths)
+        cells = np.repeat(text[rare] * width, lengths) + self.examples[at]
+        sparse = np.bincount(cells, np.repeat(weights[rare], lengths) * self.weights[at], minlength=n * width).reshape(n, width)
+        dense = np.zeros((n, len(self.common)))
+        dense[text[~rare], self.row[terms[~rare]]] = weights[~rare]
+        bounds = sparse.reshape(n, blocks, BLOCK).max(2) + dense @ self.tops
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        best, ids = np.zeros((n, k)), np.full((n, k), -1)
+        for turn in range(blocks):
+            block = order[:, turn]
+            bound = bounds[np.arange(n), block]
+            live = np.flatnonzero((bound > 0) & (bound >= best[:, -1] - 1e-11))
+            if not len(live):
+                break
+            for b in np.unique(block[live]):
+                mine = live[block[live] == b]
+                here = np.arange(b * BLOCK, (b + 1) * BLOCK)
+                cosines = np.round(sparse[mine[:, None], here] + dense[mine] @ self.common[:, here[0] : here[-1] + 1], 12)
+                if without is not None:
+                    gone = np.flatnonzero(without[mine] // BLOCK == b)
+                    cosines[gone, without[mine[gone]] % BLOCK] = 0
+                better = ((cosines > 0) & (cosines >= best[mine, -1:])).any(1)
+                mine, cosines = mine[better], cosines[better]
+                names = np.concatenate((ids[mine], np.where(cosines > 0, here, -1)), axis=1)
+                values = np.concatenate((best[mine], cosines), axis=1)
+                # Places without an example come after all others.
+                first = np.lexsort((np.where(names < 0, width, names), -values), axis=1)[:, :k]
+                best[mine], ids[mine] = np.take_along_axis(values, first, 1), np.take_along_axis(names, first, 1)
+        return ids, np.where(ids >= 0, best, 0.0)
+
+    def votes(self, ids: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """The share of label 1 among the neighbours, by cosine; nan without neighbours."""
+        total = cosines.sum(1)
+        return np.where(total > 0, (cosines * np.append(self.labels, 0)[ids]).sum(1) / np.where(total > 0, total, 1), np.nan)
 
 
 @dataclass
@@ -164,34 +177,33 @@ class Model:
     silent: float  # the score of a text without neighbours
     k: int
 
-    def vectors(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weights of unit length of all terms, and the telling terms' places and weights."""
+    def vectors(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Weights of unit length of all terms, and offsets, places and weights of the telling ones."""
         w = (1 + np.log(counts)) * self.idf[terms]
         told = self.place[terms] >= 0
-        return _unit(w), self.place[terms[told]], _unit(w[told])
+        before = np.concatenate(([0], np.cumsum(told)))[offsets]
+        return _unit(offsets, w), (before, self.place[terms[told]], _unit(before, w[told]))
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float | None, bool, np.ndarray, np.ndarray]:
-        """The vote, if telling terms took part, and the neighbours by all terms with their cosines."""
-        if not len(terms):
-            return None, False, np.zeros(0, int), np.zeros(0)
-        w, told, told_w = self.vectors(terms, counts)
-        ids, cosines = self.index.search(terms, w, self.k, without)
-        if not len(ids):
-            return None, False, ids, cosines
-        value = float((cosines * self.index.labels[ids]).sum() / cosines.sum())
-        near, likeness = self.telling.search(told, told_w, self.k, without) if len(told) else (ids[:0], cosines[:0])
-        if len(near):
-            value = (value + float((likeness * self.index.labels[near]).sum() / likeness.sum())) / 2
-        return value, bool(len(near)), ids, cosines
+    def vote(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The votes (nan without neighbours), if telling terms took part, and the neighbours by all terms with their cosines."""
+        w, (told_at, told, told_w) = self.vectors(offsets, terms, counts)
+        ids, cosines = self.index.search(offsets, terms, w, self.k, without)
+        value = self.index.votes(ids, cosines)
+        second = self.telling.votes(*self.telling.search(told_at, told, told_w, self.k, without))
+        took_part = ~np.isnan(value) & ~np.isnan(second)
+        return np.where(took_part, (value + second) / 2, value), took_part, ids, cosines
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        value, told, ids, cosines = self.vote(terms, counts)
-        return self.silent if value is None else float(np.interp(value, *self.calibrations[told])), ids, cosines
+    def score(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value, told, ids, cosines = self.vote(offsets, terms, counts)
+        of = {t: np.interp(np.nan_to_num(value), *self.calibrations[t]) for t in (False, True)}
+        return np.where(np.isnan(value), self.silent, np.where(told, of[True], of[False])), ids, cosines
 
 
-def _unit(w: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((w * w).sum())
-    return w / norm if norm > 0 else w
+def _unit(offsets: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights scaled so that those of each text have length 1."""
+    n = np.diff(offsets)
+    text = np.repeat(np.arange(len(n)), n)
+    return w / np.sqrt(np.bincount(text, w * w, minlength=len(n)))[text]
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,18 +218,18 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
-    """The model, and the chosen terms' counts in each document (id, terms, counts), written once and used twice.
-
-    At most ``examples`` labelled rows of each class are learned from, of those for which ``eligible`` (an expression
-    over the id column, named key) holds. Without a row of either class the model scores every text alike.
-    """
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null").dropDuplicates(["key"])
+def _examples(docs: DataFrame, labels: DataFrame, eligible: Column | None, id_col: str, text_col: str, label_col: str, examples: int) -> tuple[pa.Table, dict[int, int]]:
+    """terms and counts (binary), label, key and mark of the examples, and how many labelled rows each class has."""
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null")
+    known = known.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     if eligible is not None:
         known = known.where(eligible)
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    few = [known.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(examples) for v in (0, 1)]
-    chosen = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(few[0].union(few[1])), "key")
+    texts = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marks = texts.select("key", F.xxhash64("text").alias("mark"), F.xxhash64(F.lit(1), "text").alias("mark2")).join(known, "key")
+    sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    few = [marks.where(F.col("label") == v).orderBy("mark", "mark2", "key").limit(examples) for v in (0, 1)]
+    picked = written(few[0].union(few[1]), "examples")  # at most twice ``examples`` rows
+    chosen = texts.withColumns({"mark": F.xxhash64("text"), "mark2": F.xxhash64(F.lit(1), "text")}).join(F.broadcast(picked), ["key", "mark", "mark2"])
 
     def hashed(column: pa.Array) -> list:
         doc, term, counts = distinct(*term_hashes(column))
@@ -225,20 +237,38 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_c
         parts = list(zip(ends[:-1], ends[1:], strict=True))
         return [[term[a:b].tobytes() for a, b in parts], [counts[a:b].astype("<u4").tobytes() for a, b in parts]]
 
-    rows = sorted(add_columns(chosen, "text", hashed, "terms binary, counts binary", keep=["key", "label"]).collect(), key=lambda r: r["key"])
-    keys, mark = [r["key"] for r in rows], np.array([r["label"] for r in rows], int)
-    sizes_of = np.array([len(r["terms"]) // 8 for r in rows], int)
-    found = np.frombuffer(b"".join(r["terms"] for r in rows), np.uint64)
-    often = np.frombuffer(b"".join(r["counts"] for r in rows), "<u4")
-    del rows
-    vocabulary = np.unique(found) if len(set(mark)) == 2 else np.zeros(0, np.uint64)
+    found = add_columns(chosen, "text", hashed, "terms binary, counts binary", keep=["key", "label", "mark", "mark2"]).toArrow()
+    return found.sort_by([(c, "ascending") for c in ("mark", "mark2", "label", "key")]), sizes
+
+
+def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
+    """The model, and the counts of known terms in each document (key, terms, counts), written once and used twice.
+
+    At most ``examples`` labelled rows of each class are learned from, those with the least hashes of their texts among
+    the ids for which ``eligible`` (an expression over the id column, named key) holds. Labels other than 0 and 1, null
+    ids and ids whose labels contradict each other are not learned from; repeated rows of a document are an example
+    each. Null and empty texts are examples without terms. Ties between neighbours go to the example whose text has the
+    lower hash, of equal texts to label 0. Without a row of either class, and so for empty tables, every text scores the
+    same. Ids of ``docs`` and ``labels`` have one type; other columns play no part.
+    """
+    spark = docs.sparkSession
+    found, sizes = _examples(docs, labels, eligible, id_col, text_col, label_col, examples)
+    mark = found["label"].to_numpy().astype(int)
+    names = np.array(found["key"].to_pylist())
+    term = np.frombuffer(b"".join(found["terms"].to_pylist()), np.uint64)
+    often = np.frombuffer(b"".join(found["counts"].to_pylist()), "<u4")
+    lengths = np.array([len(x) // 8 for x in found["terms"].to_pylist()], int)
+    if len(set(mark)) < 2:
+        mark, names, term, often, lengths = mark[:0], names[:0], term[:0], often[:0], lengths[:0]
+    vocabulary = np.unique(term)
 
     def counted(column: pa.Array) -> list:
         doc, at, counts = chosen_counts(column, vocabulary)
         ends = pa.array(np.searchsorted(doc, np.arange(len(column) + 1)), pa.int32())
         return [pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))]
 
-    counts = written(add_columns(docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")), "text", counted, "terms array<int>, counts array<int>", keep=["key"]), "term-counts")
+    texts = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    counts = written(add_columns(texts, "text", counted, "terms array<int>, counts array<int>", keep=["key"]), "term-counts")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One row a term and task, not one a term and document.
@@ -254,37 +284,43 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_c
         df[per_term["term"].to_numpy()] = per_term["n"].to_numpy()
     idf = np.log((1 + counts.count()) / (1 + df)) + 1
 
-    at = np.searchsorted(vocabulary, found).astype(np.int32)
-    del found
-    ends = np.cumsum(np.append(0, sizes_of)) if len(vocabulary) else np.zeros(len(keys) + 1, int)
-    own = [(at[a:b], often[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     # Examples that say the same word most often stand together: blocks of like texts have low bounds for others.
-    order = sorted(range(len(own)), key=lambda i: (own[i][0][np.lexsort((-df[own[i][0]], -own[i][1]))[0]] if len(own[i][0]) else -1, i))
+    at, starts = np.searchsorted(vocabulary, term), np.concatenate(([0], np.cumsum(lengths)))
+    example = np.repeat(np.arange(len(lengths)), lengths)
+    leading = np.full(len(lengths), -1)
+    strongest = np.lexsort((df[at], often, example))  # the last of each example
+    leading[example[strongest]] = at[strongest]
+    order = np.argsort(leading, kind="stable")
+    take = _ranges(starts[:-1][order], lengths[order])
+    at, often, lengths, mark, names = at[take], often[take].astype(float), lengths[order], mark[order], names[order]
+    starts = np.concatenate(([0], np.cumsum(lengths)))
     place = np.full(len(vocabulary), -1)
-    if len(vocabulary):
-        told = telling_terms(np.repeat(np.arange(len(keys), dtype=np.int32), sizes_of), at, len(vocabulary), mark, terms)
+    if len(mark):
+        told = telling_terms(np.repeat(np.arange(len(mark)), lengths), at, len(vocabulary), mark, terms)
         place[told] = np.arange(len(told))
-    own, mark = [own[i] for i in order], mark[order]
     model = Model(vocabulary, idf, None, place, None, {}, 0.5, k)
-    both = [model.vectors(t, c) for t, c in own]
-    names = np.array([keys[i] for i in order])
-    model.index = BlockMaxIndex.build(names, mark, [(t, w) for (t, _), (w, _, _) in zip(own, both, strict=True)], len(vocabulary))
-    model.telling = BlockMaxIndex.build(names, mark, [(t, w) for _, t, w in both], int((place >= 0).sum()))
-    del both
+    w, (told_at, told, told_w) = model.vectors(starts, at, often)
+    model.index = BlockMaxIndex.build(names, mark, starts, at, w, len(vocabulary))
+    model.telling = BlockMaxIndex.build(names, mark, told_at, told, told_w, int((place >= 0).sum()))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                own = batch.column(0).to_numpy()[a : a + BATCH]
+                here = _ranges(starts[own], lengths[own])
+                value, told, _, _ = model.vote(np.concatenate(([0], np.cumsum(lengths[own]))), at[here], often[here], own)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(value), pa.array(told)], ["i", "value", "told"])
+
+    votes = spark.range(len(mark), numPartitions=max(1, -(-len(mark) // BATCH))).mapInArrow(left_out, "i long, value double, told boolean").toArrow().sort_by("i")
+    value, told = votes["value"].to_numpy(), votes["told"].to_numpy().astype(bool)
     # Each class weighs as all its labelled rows do.
     weight = np.array([sizes.get(v, 0) / max(1, int((mark == v).sum())) for v in (0, 1)])[mark] if len(mark) else np.zeros(0)
-    # Half a case of either kind at the ends keeps scores off 0 and 1 without evidence.
-    votes: dict[bool, list[tuple[float, float, float]]] = {told: [(0.0, 0.5, 1.0), (1.0, 0.5, 1.0)] for told in (False, True)}
-    silent = [0.5, 1.0]
-    for i, (t, c) in enumerate(own):
-        value, told, _, _ = model.vote(t, c, without=i)
-        if value is None:
-            silent[0] += weight[i] * mark[i]
-            silent[1] += weight[i]
-        else:
-            votes[told].append((value, mark[i], weight[i]))
-    model.calibrations = {told: _isotonic(*np.array(v, float).T) for told, v in votes.items()}
-    model.silent = silent[0] / silent[1]
+    for t in (False, True):
+        mine = ~np.isnan(value) & (told == t)
+        # Half a case of either kind at the ends keeps scores off 0 and 1 without evidence.
+        model.calibrations[t] = _isotonic(np.append(value[mine], (0.0, 1.0)), np.append(mark[mine], (0.5, 0.5)), np.append(weight[mine], (1.0, 1.0)))
+    silent = np.isnan(value)
+    model.silent = float((0.5 + (weight * mark)[silent].sum()) / (1 + weight[silent].sum()))
     return model, counts
 
 
@@ -297,13 +333,18 @@ def score(docs_counts: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """
     kind = docs_counts.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, near = [], []
-            for t, c in zip(batch["terms"], batch["counts"], strict=True):
-                value, ids, cosines = model.score(np.asarray(t, int), np.asarray(c, float))
-                scores.append(value)
-                near.append([{"example": model.index.doc_ids[i].item(), "label": int(model.index.labels[i]), "cosine": float(s)} for i, s in zip(ids[:evidence], cosines[:evidence], strict=True)])
-            yield pd.DataFrame({"key": batch["key"], "score": scores, "predicted": [int(s >= 0.5) for s in scores], "evidence": near})
-
-    return docs_counts.mapInPandas(run, f"key {kind}, score double, predicted int, evidence array<struct<example {kind}, label int, cosine double>>")
+            for a in range(0, batch.num_rows, BATCH):
+                part = batch.slice(a, BATCH)
+                terms, counts = part.column(1), part.column(2)
+                offsets = terms.offsets.to_numpy().astype(np.int64)
+                flat = terms.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
+                value, ids, cosines = model.score(offsets - offsets[0], flat[0], flat[1].astype(float))
+                ids, cosines = ids[:, :evidence], cosines[:, :evidence]
+                there = ids >= 0
+                near = pa.StructArray.from_arrays([pa.array(model.index.doc_ids[ids[there]], part.column(0).type), pa.array(model.index.labels[ids[there]], pa.int32()), pa.array(cosines[there])], ["example", "label", "cosine"])
+                ends = pa.array(np.concatenate(([0], np.cumsum(there.sum(1)))), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(ends, near)], ["key", "score", "predicted", "evidence"])
+
+    return docs_counts.select("key", "terms", "counts").mapInArrow(run, f"key {kind}, score double, predicted int, evidence array<struct<example:{kind},label:int,cosine:double>>")
