@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Examples by term. Columns are examples, filled up to whole blocks."""
+    """Examples by term, in narrow types, as it travels to every task. Columns are examples, filled up to whole blocks."""
 
     doc_ids: np.ndarray
     labels: np.ndarray
@@ -110,15 +111,20 @@ class BlockMaxIndex:
         blocks = max(1, -(-n // BLOCK))
         example = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
         df = np.bincount(term, minlength=terms)
-        row = np.full(terms, -1)
+        row = np.full(terms, -1, np.int32)
         often = np.flatnonzero(df * COMMON > n)
         row[often] = np.arange(len(often))
-        common = np.zeros((len(often), blocks * BLOCK))
+        common, weight = np.zeros((len(often), blocks * BLOCK), np.float32), weight.astype(np.float32)
         dense = row[term] >= 0
         common[row[term[dense]], example[dense]] = weight[dense]
         order = np.argsort(term[~dense], kind="stable")
         postings = np.concatenate(([0], np.cumsum(np.where(row < 0, df, 0))))
-        return cls(doc_ids, labels, postings, example[~dense][order], weight[~dense][order], row, common, common.reshape(len(often), blocks, BLOCK).max(2, initial=0.0))
+        tops = common.reshape(len(often), blocks, BLOCK).max(2, initial=0.0)
+        return cls(doc_ids, labels, postings.astype(np.int32), example[~dense][order], weight[~dense][order], row, common, tops)
+
+    @cached_property
+    def wide(self) -> np.ndarray:
+        return self.common.astype(float)
 
     def search(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each text (its terms and weights start at its offset) the k examples of the largest cosines above 0, best
@@ -129,7 +135,7 @@ class BlockMaxIndex:
         n, (blocks, width) = len(offsets) - 1, (self.tops.shape[1], self.common.shape[1])
         text = np.repeat(np.arange(n), np.diff(offsets))
         rare = self.row[terms] < 0
-        lengths = self.offsets[terms[rare] + 1] - self.offsets[terms[rare]]
+        lengths = (self.offsets[terms[rare] + 1] - self.offsets[terms[rare]]).astype(np.int64)
         at = _ranges(self.offsets[terms[rare]], lengths)
         cells = np.repeat(text[rare] * width, lengths) + self.examples[at]
         sparse = np.bincount(cells, np.repeat(weights[rare], lengths) * self.weights[at], minlength=n * width).reshape(n, width)
@@ -147,7 +153,7 @@ class BlockMaxIndex:
             for b in np.unique(block[live]):
                 mine = live[block[live] == b]
                 here = np.arange(b * BLOCK, (b + 1) * BLOCK)
-                cosines = np.round(sparse[mine[:, None], here] + dense[mine] @ self.common[:, here[0] : here[-1] + 1], 12)
+                cosines = np.round(sparse[mine[:, None], here] + dense[mine] @ self.wide[:, here[0] : here[-1] + 1], 12)
                 if without is not None:
                     gone = np.flatnonzero(without[mine] // BLOCK == b)
                     cosines[gone, without[mine[gone]] % BLOCK] = 0
@@ -179,7 +185,7 @@ class Model:
 
     def vectors(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Weights of unit length of all terms, and offsets, places and weights of the telling ones."""
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts.astype(float))) * self.idf[terms]
         told = self.place[terms] >= 0
         before = np.concatenate(([0], np.cumsum(told)))[offsets]
         return _unit(offsets, w), (before, self.place[terms[told]], _unit(before, w[told]))
@@ -282,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_c
     if len(vocabulary):
         per_term = counts.select("terms").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         df[per_term["term"].to_numpy()] = per_term["n"].to_numpy()
-    idf = np.log((1 + counts.count()) / (1 + df)) + 1
+    idf = (np.log((1 + counts.count()) / (1 + df)) + 1).astype(np.float32)
 
     # Examples that say the same word most often stand together: blocks of like texts have low bounds for others.
     at, starts = np.searchsorted(vocabulary, term), np.concatenate(([0], np.cumsum(lengths)))
@@ -292,9 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, id_c
     leading[example[strongest]] = at[strongest]
     order = np.argsort(leading, kind="stable")
     take = _ranges(starts[:-1][order], lengths[order])
-    at, often, lengths, mark, names = at[take], often[take].astype(float), lengths[order], mark[order], names[order]
+    at, often, lengths, mark, names = at[take].astype(np.int32), often[take].astype(np.float32), lengths[order], mark[order], names[order]
     starts = np.concatenate(([0], np.cumsum(lengths)))
-    place = np.full(len(vocabulary), -1)
+    place = np.full(len(vocabulary), -1, np.int32)
     if len(mark):
         told = telling_terms(np.repeat(np.arange(len(mark)), lengths), at, len(vocabulary), mark, terms)
         place[told] = np.arange(len(told))

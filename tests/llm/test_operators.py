@@ -412,23 +412,25 @@ def test_fingerprints_of_one_line_texts_keep_their_likeness(spark, tmp_path):
 # Toxicity
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common", [1, 8, 1000])
+def test_block_max_search_is_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(0)
-    rows = []
-    for _ in range(500):
-        t = np.sort(rng.choice(40, rng.integers(0, 8), replace=False))
-        rows.append((t, toxicity._unit(rng.random(len(t)) + 0.1)))
-    index = toxicity.BlockMaxIndex.build(np.arange(500), rng.integers(0, 2, 500), rows, 40)
+    lengths = rng.integers(0, 8, 500)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    terms = np.concatenate([np.sort(rng.choice(40, n, replace=False)) for n in lengths])
+    weights = toxicity._unit(offsets, rng.random(len(terms)) + 0.1).astype(np.float32).astype(float)
+    index = toxicity.BlockMaxIndex.build(np.arange(500), rng.integers(0, 2, 500), offsets, terms, weights, 40)
     dense = np.zeros((500, 40))
-    for i, (t, w) in enumerate(rows):
-        dense[i, t] = w
+    dense[np.repeat(np.arange(500), lengths), terms] = weights
+    end = offsets[60]
+    ids, scores = index.search(offsets[:61], terms[:end], weights[:end], 15, np.arange(60))
     for i in range(60):
-        t, w = rows[i]
         cosines = np.round(dense @ dense[i], 12)
         cosines[i] = 0
         want = [j for j in np.lexsort((np.arange(500), -cosines))[:15] if cosines[j] > 0]
-        ids, scores = index.search(t, w, 15, without=i)
-        assert ids.tolist() == want or np.allclose(np.sort(scores), np.sort(cosines[want]), atol=1e-11)
+        got = ids[i][ids[i] >= 0].tolist()
+        assert got == want or np.allclose(scores[i][: len(got)], cosines[want], atol=1e-11)
 
 
 def test_toxicity_held_out(spark):
@@ -456,6 +458,12 @@ def test_toxicity_held_out(spark):
     assert len({r["score"] for r in toxicity.score(few, nothing).collect()}) == 1
     none, no_rows = toxicity.fit(docs.limit(0), marks)
     assert toxicity.score(no_rows, none).count() == 0
+    # Contradicting labels, null ids and repeated rows; columns with names used inside.
+    odd = marks.union(marks.where("key is null" if "key" in marks.columns else "doc_id is null")).union(spark.createDataFrame([(None, 1), (1, 1), (1, 0)], marks.schema))
+    wide = docs.union(docs.where("doc_id < 3")).selectExpr("*", "'x' AS key", "1 AS _", "2 AS terms", "3 AS mark")
+    again, counts = toxicity.fit(wide, odd, F.col("key") % 5 != 0)
+    assert toxicity.score(counts, again).count() == 403
+    assert all(e["example"] != 1 for r in toxicity.score(counts, again).collect() for e in r["evidence"])
 
 
 def test_toxicity_searches_all_terms(spark):
