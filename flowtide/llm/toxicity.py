@@ -29,8 +29,8 @@ NEIGHBOURS, BLOCK = 15, 64
 BEGINNINGS, LEAST_EXAMPLES = (5, 6), 4
 #: Terms that stand in more than one in so many examples are common.
 COMMON = 8
-#: Texts that are searched for together.
-BATCH = 256
+#: Texts, and postings of their rare terms, that are gone through together; a text of more postings stands alone.
+BATCH, POSTINGS = 256, 1 << 21
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[0x80:] = True
 
@@ -127,6 +127,19 @@ class BlockMaxIndex:
         return self.common.astype(float)
 
     def search(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As _search(), in parts of bounded memory."""
+        n = len(offsets) - 1
+        before = np.concatenate(([0], np.cumsum(self.offsets[terms + 1] - self.offsets[terms], dtype=np.int64)))[offsets]
+        out, start = [], 0
+        while start < n:
+            stop = int(np.searchsorted(before, before[start] + POSTINGS, side="right")) - 1
+            stop = min(n, max(stop, start + 1), start + BATCH)
+            part = slice(offsets[start], offsets[stop])
+            out.append(self._search(offsets[start : stop + 1] - offsets[start], terms[part], weights[part], k, None if without is None else without[start:stop]))
+            start = stop
+        return np.concatenate([x for x, _ in out] or [np.zeros((0, k), int)]), np.concatenate([x for _, x in out] or [np.zeros((0, k))])
+
+    def _search(self, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Of each text (its terms and weights start at its offset) the k examples of the largest cosines above 0, best
         first, ties to the earlier example: places (-1 where there are fewer) and cosines.
 
@@ -142,28 +155,35 @@ class BlockMaxIndex:
         dense = np.zeros((n, len(self.common)))
         dense[text[~rare], self.row[terms[~rare]]] = weights[~rare]
         bounds = sparse.reshape(n, blocks, BLOCK).max(2) + dense @ self.tops
-        order = np.argsort(-bounds, axis=1, kind="stable")
         best, ids = np.zeros((n, k)), np.full((n, k), -1)
-        for turn in range(blocks):
-            block = order[:, turn]
-            bound = bounds[np.arange(n), block]
-            live = np.flatnonzero((bound > 0) & (bound >= best[:, -1] - 1e-11))
-            if not len(live):
-                break
-            for b in np.unique(block[live]):
-                mine = live[block[live] == b]
-                here = np.arange(b * BLOCK, (b + 1) * BLOCK)
-                cosines = np.round(sparse[mine[:, None], here] + dense[mine] @ self.wide[:, here[0] : here[-1] + 1], 12)
-                if without is not None:
-                    gone = np.flatnonzero(without[mine] // BLOCK == b)
-                    cosines[gone, without[mine[gone]] % BLOCK] = 0
-                better = ((cosines > 0) & (cosines >= best[mine, -1:])).any(1)
-                mine, cosines = mine[better], cosines[better]
-                names = np.concatenate((ids[mine], np.where(cosines > 0, here, -1)), axis=1)
-                values = np.concatenate((best[mine], cosines), axis=1)
-                # Places without an example come after all others.
-                first = np.lexsort((np.where(names < 0, width, names), -values), axis=1)[:, :k]
-                best[mine], ids[mine] = np.take_along_axis(values, first, 1), np.take_along_axis(names, first, 1)
+        closed = bounds > 0
+
+        def open_block(mine: np.ndarray, b: int) -> None:
+            closed[mine, b] = False
+            here = np.arange(b * BLOCK, (b + 1) * BLOCK)
+            cosines = np.round(sparse[mine, here[0] : here[-1] + 1] + dense[mine] @ self.wide[:, here[0] : here[-1] + 1], 12)
+            if without is not None:
+                gone = np.flatnonzero(without[mine] // BLOCK == b)
+                cosines[gone, without[mine[gone]] % BLOCK] = 0
+            better = ((cosines > 0) & (cosines >= best[mine, -1:])).any(1)
+            mine, cosines = mine[better], cosines[better]
+            names = np.concatenate((ids[mine], np.where(cosines > 0, here, -1)), axis=1)
+            values = np.concatenate((best[mine], cosines), axis=1)
+            # Places without an example come after all others.
+            first = np.lexsort((np.where(names < 0, width, names), -values), axis=1)[:, :k]
+            row = np.arange(len(mine))[:, None]
+            best[mine], ids[mine] = values[row, first], names[row, first]
+
+        # The two blocks of the highest bounds first; then those that could still hold a neighbour.
+        for turn in np.argsort(-bounds, axis=1, kind="stable")[:, :2].T:
+            for b in np.unique(turn):
+                mine = np.flatnonzero((turn == b) & closed[:, b])
+                if len(mine):
+                    open_block(mine, b)
+        for b in range(blocks):
+            mine = np.flatnonzero(closed[:, b] & (bounds[:, b] >= best[:, -1] - 1e-11))
+            if len(mine):
+                open_block(mine, b)
         return ids, np.where(ids >= 0, best, 0.0)
 
     def votes(self, ids: np.ndarray, cosines: np.ndarray) -> np.ndarray:
