@@ -43,7 +43,7 @@ def _long_enough(key: bytes, least: int) -> bool:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys; keys that share all 64 bits are left over and get no slot."""
+    """Minimal perfect hash of distinct 64-bit keys; keys that share all 64 bits get no slot (index() says -1)."""
 
     LEVELS = 40
 
@@ -123,9 +123,11 @@ def shard_index(shared: DataFrame) -> DataFrame:
         arrays = [np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)]
         for array, name in zip(arrays, ("h2", "n_docs", "owner"), strict=True):
             array[at[at >= 0]] = rows[name].to_numpy(np.int64)[at >= 0]
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "levels": [hashed.dump()], "prints": [arrays[0].tobytes()], "counts": [arrays[1].astype(np.uint32).tobytes()], "owners": [arrays[2].tobytes()]})
+        # Keys without a slot are listed as they are.
+        rest = rows.loc[at < 0, ["h1", "h2", "owner"]].to_numpy(np.int64)
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "levels": [hashed.dump()], "prints": [arrays[0].tobytes()], "counts": [arrays[1].astype(np.uint32).tobytes()], "owners": [arrays[2].tobytes()], "rest": [rest.tobytes()]})
 
-    return shared.groupBy("shard").applyInPandas(build, "shard long, levels array<binary>, prints binary, counts binary, owners binary")
+    return shared.groupBy("shard").applyInPandas(build, "shard long, levels array<binary>, prints binary, counts binary, owners binary, rest binary")
 
 
 def _probe(probes: pa.Table, index: pa.Table) -> pa.Table:
@@ -136,9 +138,9 @@ def _probe(probes: pa.Table, index: pa.Table) -> pa.Table:
     doc, h1, h2 = (probes.column(c).to_numpy() for c in ("doc", "h1", "h2"))
     at = PerfectHash.load(entry["levels"]).index(h1.view(np.uint64) ^ mix64(h2.view(np.uint64)))
     prints, counts, owners = (np.frombuffer(entry[c], k) for c, k in (("prints", np.int64), ("counts", np.uint32), ("owners", np.int64)))
-    if not len(prints):
-        return schema.empty_table()
-    hit = (at >= 0) & (prints[at] == h2) & (counts[at] >= 2) & (owners[at] != doc)
+    hit = (at >= 0) & (prints[at] == h2) & (counts[at] >= 2) & (owners[at] != doc) if len(prints) else np.zeros(len(doc), bool)
+    for k1, k2, owner in np.frombuffer(entry["rest"], np.int64).reshape(-1, 3):
+        hit |= (h1 == k1) & (h2 == k2) & (owner != doc)
     return pa.table([pa.array(x[hit]) for x in (doc, h1, h2)], schema=schema)
 
 

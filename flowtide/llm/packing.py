@@ -1,7 +1,7 @@
 """Packing of token ids into sequences of fixed length, first-fit decreasing in randomised groups of documents.
 
-Each group is one task's work and holds about ``group_docs`` documents, whatever their ids or sources: the group comes
-from a hash. Within it, documents are cut at multiples of the sequence length; whole cuts fill sequences of their own,
+Each group is one task's work and holds about ``group_docs`` documents and ``group_bytes`` of text, whatever their ids
+or sources: the group comes from a hash, and the number of groups from the documents alone. Within it, documents are cut at multiples of the sequence length; whole cuts fill sequences of their own,
 and what is left of each document goes, largest first, to the first bin with room, found in a tournament tree.
 """
 
@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
 from .encoders import encoder
 
-LENGTH, END_ID, GROUP_DOCS = 1024, 0, 4000
+LENGTH, END_ID = 1024, 0
+#: Documents and bytes of text of a group, about.
+GROUP_DOCS, GROUP_BYTES = 4000, 16 << 20
 
 
 class Tournament:
@@ -50,7 +51,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, salt: int = 0, literal: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, group_bytes: int = GROUP_BYTES, salt: int = 0, literal: bool = True) -> DataFrame:
     """Pieces of all documents, laid into sequences: ``id_col``, start, length, doc_tokens, sequence_id, offset (long)
     and ids (binary, little-endian unsigned 32-bit).
 
@@ -58,7 +59,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     as in Encoder. Each id lies in exactly one piece. Repeated rows and rows with a null id are packed each on its own; other columns of ``docs``
     play no part. Ties go to the smaller id, then the smaller text; an empty table gives no pieces.
     """
-    groups = max(partitions(docs.sparkSession), math.ceil(docs.count() / group_docs))
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()
+    groups = max(1, math.ceil(n / group_docs), math.ceil((size or 0) / group_bytes))
     dealt = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("group", F.pmod(F.xxhash64(F.lit(salt), "id", "text"), F.lit(groups)))
     id_type = dealt.schema["id"].dataType
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, discard, mix64, partitions, slices, text_bytes, written
+from .common import Spans, discard, mix64, packed_row, partitions, slices, text_bytes, unpacked, written
 
 #: Bytes of a string that must not repeat.
 LENGTH = 400
@@ -171,17 +171,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     new = ("kept", "spans", "n_bytes", "n_removed")
     passed = [c for c in docs.columns if c not in new]
+    others = [c for c in passed if c != text_col]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in passed if c != text_col]).alias("row"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("doc"), text.alias("text"))
+    rows = docs.select(packed_row(others), F.xxhash64(F.col(f"`{id_col}`"), text).alias("doc"), text.alias("text"))
     texts = rows.select("doc", "text")
     sampled = written(_sampled(texts, length, gap), "samples")
     # Samples whose name is their own end here.
-    shared = sampled.groupBy("behind").agg(F.count("*").alias("of")).where("of > 1").select("behind")
+    # Written, so that the join deals both sides anew and a very common name can be split among tasks.
+    shared = written(sampled.groupBy("behind").agg(F.count("*").alias("of")).where("of > 1").select("behind"), "shared")
     candidates = written(sampled.join(shared, "behind"), "candidates")
     discard(sampled)
     names = written(candidates.groupBy(*_ALL).agg(F.count("*").alias("n")), "names")
-    kinds = names.groupBy("behind").agg(F.count("*").alias("kinds"))
-    hits = written(candidates.join(names.join(kinds, "behind"), list(_ALL)), "hits")
+    kinds = written(names.groupBy("behind").agg(F.count("*").alias("kinds")), "kinds")
+    counted = written(names.join(kinds, "behind"), "counted")
+    hits = written(candidates.join(counted, list(_ALL)), "hits")
     discard(candidates)
 
     # One sample of each name stands for all of that name.
@@ -218,4 +221,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, spans array<struct<start:bigint,length:bigint>>, n_bytes long, n_removed long, text string"
     done = joined.mapInArrow(cut, schema)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in passed], *new)
+    found = dict(zip(others, unpacked(others), strict=True))
+    return done.select(*[found.get(c, F.col("text").alias(c)) for c in passed], *new)

@@ -30,7 +30,7 @@ def rows() -> list[tuple]:
 @pytest.fixture(scope="session")
 def docs(spark):
     # Extra columns whose names clash with those the operators use inside.
-    return spark.createDataFrame(rows(), SCHEMA).selectExpr("*", "1 AS row", "'k' AS key", "2.0 AS kept", "'t' AS drop")
+    return spark.createDataFrame(rows(), SCHEMA).selectExpr("*", "1 AS row", "'k' AS key", "2.0 AS kept", "'t' AS drop", "3 AS _", "4 AS col1", "5 AS c0")
 
 
 @pytest.fixture(scope="session")
