@@ -8,6 +8,8 @@ which is taken out of its other cells, and so on. Where cells remain, both sketc
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,27 +39,48 @@ def _checked(digest: Column) -> Column:
     return F.shiftleft(digest, _CHECK_BITS).bitwiseOR(_check(digest))
 
 
-def _places(key: Column, cells: int) -> Column:
-    """The key's cell in each table, from 1 on; other sizes shuffle the keys anew."""
-    return F.array(*[(F.pmod(F.xxhash64(F.lit(t * 1_000_003 + cells), key), F.lit(cells)) + (t * cells + 1)).cast("int") for t in range(TABLES)])
+def _zero(n: int | Column = 1) -> Column:
+    return F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k")), n).cast(_CELL)
 
 
-def _toggle(sketch: Column, keys: Column, cells: int) -> Column:
-    """Counts and XORs each of ``keys`` (structs of a sign n and a key k) into its cells."""
-    spots = F.flatten(F.transform(keys, lambda x: F.transform(_places(x["k"], cells), lambda p: F.struct(p.alias("p"), x["n"].alias("n"), x["k"].alias("k")))))
+def _table(keys: Column, cells: int, table: int) -> Column:
+    """One table's cells, from signed keys (structs of a sign n and a key k).
 
-    def put(s: Column, x: Column) -> Column:
-        old = F.element_at(s, x["p"])
-        new = F.struct((old["n"] + x["n"]).alias("n"), old["k"].bitwiseXOR(x["k"]).alias("k"))
-        return F.concat(F.slice(s, F.lit(1), x["p"] - 1), F.array(new), F.slice(s, x["p"] + 1, F.lit(TABLES * cells)))
+    The cells form blocks of about the square root of their number; keys are dealt to blocks, then a block's keys to
+    its cells, so the work grows with keys times that root and no array is copied for a key.
+    """
+    width = math.isqrt(cells - 1) + 1
+
+    def spot(x: Column) -> Column:
+        place = F.pmod(F.xxhash64(F.lit(table * 1_000_003 + cells), x["k"]), F.lit(cells)).cast("int")
+        return F.struct(place.alias("p"), F.floor(place / width).cast("int").alias("b"), x["n"].alias("n"), x["k"].alias("k"))
+
+    def cell(spots: Column, p: Column) -> Column:
+        put = lambda old, x: F.when(x["p"] == p, F.struct((old["n"] + x["n"]).alias("n"), old["k"].bitwiseXOR(x["k"]).alias("k"))).otherwise(old)
+        return F.aggregate(spots, F.element_at(_zero(), 1), put)
+
+    def block(spots: Column, b: Column) -> Column:
+        first, size = b * width, F.least(F.lit(width), F.lit(cells) - b * width)
+        inside = lambda mine: F.transform(F.sequence(first, first + size - 1), lambda p: cell(mine, p))
+        return _let(F.filter(spots, lambda x: x["b"] == b), lambda mine: F.when(F.size(mine) == 0, _zero(size)).otherwise(inside(mine)))
+
+    blocks = F.sequence(F.lit(0), F.lit((cells - 1) // width))
+    return _let(F.transform(keys, spot), lambda spots: F.flatten(F.transform(blocks, lambda b: block(spots, b))))
 
-    return F.aggregate(spots, sketch, put)
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: an array of one element is the lambda language's let."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _signed(keys: Column, cells: int) -> Column:
+    """The sketch of signed keys, table by table."""
+    return F.concat(*[_table(keys, cells, t) for t in range(TABLES)])
 
 
 def sketch(keys: Column, cells: int = CELLS) -> Column:
     """The sketch of a set of keys: an array of (n, k), table by table."""
-    zero = F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k")), TABLES * cells).cast(_CELL)
-    return _toggle(zero, F.transform(keys, lambda k: F.struct(F.lit(1).cast("bigint").alias("n"), k.alias("k"))), cells)
+    return _let(F.transform(keys, lambda k: F.struct(F.lit(1).cast("bigint").alias("n"), k.alias("k"))), lambda signed: _signed(signed, cells))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -77,13 +100,14 @@ def peel(difference: Column, cells: int, rounds: int = ROUNDS) -> Column:
         return F.when((x["n"] == 1) | (x["n"] == -1), x["k"] == _checked(F.shiftrightunsigned(x["k"], _CHECK_BITS))).otherwise(F.lit(False))
 
     def turn(s: Column, shown: Column) -> Column:
-        left = _toggle(s["left"], F.transform(shown, lambda x: F.struct((-x["n"]).alias("n"), x["k"].alias("k"))), cells)
-        return F.struct(left.alias("left"), F.concat(s["found"], shown).alias("found"), (F.size(shown) > 0).alias("going"))
+        return F.struct(subtract(s["left"], _signed(shown, cells)).alias("left"), F.concat(s["found"], shown).alias("found"), F.lit(True).alias("going"))
+
+    def end(s: Column) -> Column:
+        return F.struct(s["left"].alias("left"), s["found"].alias("found"), F.lit(False).alias("going"))
 
     def step(s: Column, _: Column) -> Column:
         shown = F.array_distinct(F.filter(s["left"], pure))
-        # An array of one element is the lambda language's let: what is shown is looked for once.
-        return F.when(s["going"], F.element_at(F.transform(F.array(shown), lambda x: turn(s, x)), 1)).otherwise(s)
+        return F.when(s["going"], _let(shown, lambda x: F.when(F.size(x) > 0, turn(s, x)).otherwise(end(s)))).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
