@@ -5,8 +5,9 @@ stand. A chunk's bytes are stored once, in the pack row of the document that own
 place); every document has a recipe of chunk digests. Roots of Merkle trees over the digests, for each document and for
 each range of documents, verify what is read back.
 
-Packs are bucketed by document id, so neither writing them nor putting documents together again moves owned bytes
-between tasks; only chunks that another document owns travel.
+The store is a folder of three tables. ``documents`` holds recipes and owned bytes in files of ascending document id,
+about equally many ids in each; ``refs`` names the chunks that documents borrow; ``manifest`` holds the Merkle root of
+each file, written with it and checked before anything is read back.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLEANUP, partitions, running_totals, scratch_path, settings, slices, write
+from .common import CLEANUP, discard, partitions, running_totals, scratch_path, settings, slices, write, written
 from .encoders import encoder
 
 END_ID = 2
 #: Ids that the rolling hash sees; chunks end where one hash in MEAN says so, but hold LEAST to MOST ids.
 WINDOW, MEAN, LEAST, MOST = 4, 192, 48, 2048
 _DIGEST = 16
+#: Ids of a file at most, but for the last document's.
+FILE_IDS = 1 << 24
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -68,36 +71,47 @@ def _digest(chunk: np.ndarray) -> bytes:
     return blake2b(chunk.astype("<u4").tobytes(), digest_size=_DIGEST).digest()
 
 
+def _file_roots(docs: DataFrame) -> DataFrame:
+    """file, first_id, n_docs, itemsize, root of each file's documents; a file holds at most FILE_IDS ids or one document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def root(key, rows):
+        ordered = rows.sort_by("doc_id")
+        return pa.table({"file": [key[0].as_py()], "first_id": ordered.column("doc_id")[:1], "n_docs": [len(rows)], "itemsize": ordered.column("itemsize")[:1], "root": [merkle_root(ordered.column("root").to_pylist())]})
+
+    return docs.select("file", "doc_id", "itemsize", "root").groupBy("file").applyInArrow(root, f"file long, first_id {kind}, n_docs long, itemsize int, root binary")
+
+
 @dataclass
 class TokenStore:
-    """Where a store lies; ``id_type`` is that of the document ids."""
+    """A store in the folder ``path``, which is all that a later session needs to open it."""
 
     spark: SparkSession
-    recipes_path: str
-    refs_path: str
-    packs: str
-    kind: str
+    path: str
+
+    def _documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/documents")
 
     def recipes(self) -> DataFrame:
         """doc_id, start, n_tokens, root, digests, sizes in files of ascending doc_id."""
-        return self.spark.read.parquet(self.recipes_path)
+        return self._documents().select("doc_id", "start", "n_tokens", "root", "digests", "sizes")
 
     def manifest(self) -> DataFrame:
-        """The Merkle root of each recipe file's documents: file, first_id, n_docs, root."""
+        """The stored Merkle root of each file's documents: file, first_id, n_docs, itemsize (bytes of an id), root."""
+        return self.spark.read.parquet(f"{self.path}/manifest")
 
-        def root(key, rows):
-            ordered = rows.sort_by("doc_id")
-            return pa.table({"file": [key[0].as_py()], "first_id": ordered.column("doc_id")[:1], "n_docs": [len(rows)], "root": [merkle_root(ordered.column("root").to_pylist())]})
-
-        kind = self.recipes().schema["doc_id"].dataType.simpleString()
-        named = self.recipes().select(F.input_file_name().alias("file"), "doc_id", "root")
-        return named.groupBy("file").applyInArrow(root, f"file string, first_id {kind}, n_docs long, root binary")
+    def verify(self) -> None:
+        """Raises ValueError where the documents' roots don't add up to the stored manifest, or files are missing or new."""
+        found = _file_roots(self._documents())
+        same = F.col("a.root").eqNullSafe(F.col("b.root")) & F.col("a.n_docs").eqNullSafe(F.col("b.n_docs"))
+        if not self.manifest().alias("a").join(found.alias("b"), F.col("a.file") == F.col("b.file"), "full").where(~same).isEmpty():
+            raise ValueError("the documents do not match the store's manifest")
 
     def documents(self) -> DataFrame:
         """doc_id, start, n_tokens (with the end id) and ids (binary, little-endian unsigned 32-bit), put together from
-        recipes and packs. A chunk or root that doesn't match its digest fails the job."""
-        kind = self.kind
-        packs = self.spark.table(self.packs)
+        recipes and chunks. The manifest is checked at once; a chunk or root that doesn't match its digest fails the job."""
+        self.verify()
+        stored = self._documents()
 
         def lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -105,27 +119,26 @@ class TokenStore:
                 for row in batch.to_pylist():
                     at = 0
                     for digest, size, owned, lends in zip(row["digests"], row["sizes"], row["owned"], row["lends"], strict=True):
-                        size *= np.dtype(kind).itemsize
+                        size *= row["itemsize"]
                         if lends:
                             digests.append(digest)
                             chunks.append(row["own"][at : at + size])
                         at += size * owned
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], ["digest", "chunk"])
 
-        lending = packs.where(F.exists("lends", lambda x: x)).select("digests", "sizes", "owned", "lends", "own").mapInArrow(lent, "digest binary, chunk binary")
-        borrowed = self.spark.read.parquet(self.refs_path).join(lending, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "chunk")).alias("borrowed"))
-        heads = self.recipes().select("doc_id", "start", "n_tokens", "root")
-        whole = packs.join(borrowed, "doc_id", "left").join(heads, "doc_id")
+        lending = stored.where(F.exists("lends", lambda x: x)).select("digests", "sizes", "owned", "lends", "own", "itemsize").mapInArrow(lent, "digest binary, chunk binary")
+        borrowed = self.spark.read.parquet(f"{self.path}/refs").where("not owner").join(lending, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "chunk")).alias("borrowed"))
 
         def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "own"):
                     ids = []
-                    for row in part.select(["digests", "sizes", "owned", "own", "borrowed", "root"]).to_pylist():
+                    for row in part.select(["digests", "sizes", "owned", "own", "borrowed", "root", "itemsize"]).to_pylist():
+                        kind = f"<u{row['itemsize']}"
                         other = {b["pos"]: b["chunk"] for b in row["borrowed"] or ()}
                         chunks, at = [], 0
                         for pos, (size, owned) in enumerate(zip(row["sizes"], row["owned"], strict=True)):
-                            size *= np.dtype(kind).itemsize
+                            size *= row["itemsize"]
                             chunks.append(np.frombuffer(row["own"][at : at + size] if owned else other[pos], kind))
                             at += size * owned
                         digests = [_digest(c) for c in chunks]
@@ -134,8 +147,11 @@ class TokenStore:
                         ids.append(np.concatenate(chunks).astype("<u4").tobytes())
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-        id_type = packs.schema["doc_id"].dataType.simpleString()
-        return whole.select("doc_id", "start", "n_tokens", "digests", "sizes", "owned", "own", "borrowed", "root").mapInArrow(together, f"doc_id {id_type}, start long, n_tokens long, ids binary")
+        # Only documents that borrow are shuffled.
+        alone = F.forall("owned", lambda x: x)
+        whole = stored.where(alone).withColumn("borrowed", F.lit(None).cast(borrowed.schema["borrowed"].dataType)).unionByName(stored.where(~alone).join(borrowed, "doc_id", "left"))
+        id_type = stored.schema["doc_id"].dataType.simpleString()
+        return whole.select("doc_id", "start", "n_tokens", "digests", "sizes", "owned", "own", "borrowed", "root", "itemsize").mapInArrow(together, f"doc_id {id_type}, start long, n_tokens long, ids binary")
 
 
 def _bucketed(df: DataFrame, name: str, parts: int) -> str:
@@ -147,14 +163,16 @@ def _bucketed(df: DataFrame, name: str, parts: int) -> str:
     return table
 
 
-def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, literal: bool = True) -> TokenStore:
-    """Encodes every whole text with the tokenizer file, ``end_id`` behind each, and stores the ids.
+def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, literal: bool = True, path: str | None = None) -> TokenStore:
+    """Encodes every whole text with the tokenizer file, ``end_id`` behind each, and stores the ids in the folder ``path``
+    (by default a new one in the shared folder).
 
     Null and empty texts are ``end_id`` alone; ``literal`` as in Encoder. A document is an id: of rows that share one, the greatest text is stored;
     rows with a null id are not. Other columns play no part. An empty table gives an empty store.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
+    path = path or scratch_path(spark, "store")
     kind = "<u2" if encoder(tokenizer, literal).size <= 1 << 16 and end_id < 1 << 16 else "<u4"
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -183,7 +201,7 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     # The place of each chunk that stands in more than one; the first place owns it, the others refer to it.
     places = encoded.select("doc_id", F.posexplode("digests").alias("pos", "digest"))
     shared = places.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refs_path = scratch_path(spark, "refs")
+    refs_path = f"{path}/refs"
     write(places.join(shared, "digest").select("doc_id", "pos", "digest", (F.struct("doc_id", "pos") == F.col("owner")).alias("owner")), refs_path)
     refs = spark.read.parquet(refs_path)
     marks = refs.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("owner"), F.col("pos"))).alias("gone"), F.collect_list(F.when(F.col("owner"), F.col("pos"))).alias("lent"))
@@ -203,21 +221,30 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                     at += size * width
                 own.append(b"".join(kept))
             flags = pa.list_(pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digests"), batch.column("sizes"), pa.array(owned, flags), pa.array(lends, flags), pa.array(own, pa.binary())], ["doc_id", "digests", "sizes", "owned", "lends", "own"])
-
-    packs = _bucketed(
-        encoded.join(marks, "doc_id", "left").select("doc_id", "ids", "digests", "sizes", "gone", "lent").mapInArrow(split, f"doc_id {id_type}, digests array<binary>, sizes array<int>, owned array<boolean>, lends array<boolean>, own binary"),
-        "packs",
-        parts,
-    )
+            passed = [batch.column(c) for c in ("doc_id", "file", "start", "n_tokens", "root", "digests", "sizes")]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(owned, flags), pa.array(lends, flags), pa.array(own, pa.binary())], ["doc_id", "file", "start", "n_tokens", "root", "digests", "sizes", "owned", "lends", "own"])
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([merkle_root(d) for d in batch.column("digests").to_pylist()], pa.binary())], [*batch.schema.names, "root"])
 
-    headed = encoded.select("doc_id", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_tokens"), "digests", "sizes").mapInArrow(roots, f"doc_id {id_type}, n_tokens long, digests array<binary>, sizes array<int>, root binary")
-    recipes_path = scratch_path(spark, "recipes")
-    started = running_totals(headed, "doc_id", "n_tokens", "start")
-    write(started.select("doc_id", "start", "n_tokens", "root", "digests", "sizes").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id"), recipes_path)
+    n_tokens = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)
+    headed = encoded.select("doc_id", n_tokens.alias("n_tokens"), "digests").mapInArrow(roots, f"doc_id {id_type}, n_tokens long, digests array<binary>, root binary").drop("digests")
+    started = written(running_totals(headed, "doc_id", "n_tokens", "start"), "started")
+    total = started.agg(F.coalesce(F.max(F.col("start") + F.col("n_tokens")), F.lit(0))).first()[0]
+    file_ids = min(FILE_IDS, max(1, -(-total // parts)))
+    placed = started.withColumn("file", F.floor(F.col("start") / F.lit(file_ids)).cast("long"))
+    split_up = (
+        encoded.join(marks, "doc_id", "left")
+        .join(placed, "doc_id")
+        .select("doc_id", "file", "start", "n_tokens", "root", "ids", "digests", "sizes", "gone", "lent")
+        .mapInArrow(split, f"doc_id {id_type}, file long, start long, n_tokens long, root binary, digests array<binary>, sizes array<int>, owned array<boolean>, lends array<boolean>, own binary")
+        .withColumn("itemsize", F.lit(np.dtype(kind).itemsize))
+    )
+    # A file's number is its partition's, so files ascend by document as they are written.
+    write(split_up.repartitionById(max(1, -(-total // file_ids)), F.col("file").cast("int")).sortWithinPartitions("doc_id"), f"{path}/documents")
+    store = TokenStore(spark, path)
+    write(_file_roots(store._documents()), f"{path}/manifest")
+    discard(encoded)
     spark.sql(f"DROP TABLE {encoded_table}")
-    return TokenStore(spark, recipes_path, refs_path, packs, kind)
+    return store

@@ -1,14 +1,17 @@
 """The operators against brute force on a small table with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import glob
 import hashlib
 import math
+import os
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -321,13 +324,40 @@ def test_token_store_round_trip(docs, empty):
         ids = library_ids(WORD, texts[d], 2)
         assert (rows[d]["start"], rows[d]["n_tokens"], bytes(rows[d]["ids"])) == (at, len(ids), np.array(ids, "<u4").tobytes())
         at += len(ids)
-    packs = docs.sparkSession.table(store.packs).collect()
+    packs = docs.sparkSession.read.parquet(f"{store.path}/documents").collect()
     stored = [d for r in packs for d, mine in zip(r["digests"], r["owned"], strict=True) if mine]
     assert len(stored) == len(set(stored)) == len({d for r in packs for d in r["digests"]})
     assert sum(r["n_docs"] for r in store.manifest().collect()) == len(texts)
     assert token_store.write_store(empty, WORD).documents().count() == 0
 
 
+def test_token_store_files_ascend_and_open_from_their_path(spark, docs, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, WORD, path=path)
+    files = sorted(glob.glob(f"{path}/documents/part-*.parquet"))
+    ids = [i for f in files for i in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]
+    assert len(files) > 1 and ids == sorted(ids)
+    store = token_store.TokenStore(spark, path)
+    rows = sorted(store.documents().collect(), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in rows] == ids
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()]
+
+
+@pytest.mark.parametrize("column", ["root", "own"])
+def test_token_store_finds_damage(spark, docs, tmp_path, column):
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, WORD, path=path)
+    victim = sorted(glob.glob(f"{path}/documents/part-*.parquet"))[0]
+    table = pq.read_table(victim)
+    values = table.column(column).to_pylist()
+    at = next(i for i, v in enumerate(values) if v)
+    values[at] = bytes([values[at][0] ^ 1]) + values[at][1:]
+    os.remove(f"{os.path.dirname(victim)}/.{os.path.basename(victim)}.crc")
+    pq.write_table(table.set_column(table.schema.get_field_index(column), column, pa.array(values, pa.binary())), victim)
+    with pytest.raises(Exception, match="match"):
+        token_store.TokenStore(spark, path).documents().collect()
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(0).integers(0, 40_000, 20_000).astype("<u2")
     ends = token_store.cuts(ids)
