@@ -192,9 +192,10 @@ def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """Fits the field on at most ``fit_docs`` labelled documents of each class.
 
     Lines of documents labelled 1 count as content, those of documents labelled 0 as boilerplate. Where one of the
-    classes has no document with words, the result is ``ChainField.plain()``.
+    classes has no document with words, the result is ``ChainField.plain()``. Null ids and other labels are passed over; an
+    id labelled both ways counts as 1, whatever the order of the rows.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("mark")).where("key is not null").dropDuplicates(["key"])
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("mark")).where("key is not null").groupBy("key").agg(F.max("mark").alias("mark"))
     chosen = None
     for mark in (0, 1):
         few = known.where(F.col("mark") == mark).orderBy(F.xxhash64("key"), "key").limit(fit_docs)
