@@ -181,7 +181,7 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         enc, last = encoder(tokenizer, literal), None
         for batch in batches:
             for part in slices(batch, "text"):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if doc == last:
                         continue
@@ -189,13 +189,14 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                     ids = enc.array(text, end_id, kind)
                     ends = cuts(ids)
                     starts = [0, *ends[:-1]]
-                    for column, value in zip(out, (doc, ids.tobytes(), [_digest(ids[a:b]) for a, b in zip(starts, ends, strict=True)], [b - a for a, b in zip(starts, ends, strict=True)]), strict=True):
+                    digests = [_digest(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
+                    for column, value in zip(out, (doc, ids.tobytes(), digests, [b - a for a, b in zip(starts, ends, strict=True)], merkle_root(digests)), strict=True):
                         column.append(value)
-                types = [part.column(0).type, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "ids", "digests", "sizes"])
+                types = [part.column(0).type, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "ids", "digests", "sizes", "root"])
 
     dealt = rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", F.desc("text"))
-    encoded_table = _bucketed(dealt.mapInArrow(encode, f"doc_id {id_type}, ids binary, digests array<binary>, sizes array<int>"), "encoded", parts)
+    encoded_table = _bucketed(dealt.mapInArrow(encode, f"doc_id {id_type}, ids binary, digests array<binary>, sizes array<int>, root binary"), "encoded", parts)
     encoded = spark.table(encoded_table)
 
     # The place of each chunk that stands in more than one; the first place owns it, the others refer to it.
@@ -224,18 +225,14 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             passed = [batch.column(c) for c in ("doc_id", "file", "start", "n_tokens", "root", "digests", "sizes")]
             yield pa.RecordBatch.from_arrays([*passed, pa.array(owned, flags), pa.array(lends, flags), pa.array(own, pa.binary())], ["doc_id", "file", "start", "n_tokens", "root", "digests", "sizes", "owned", "lends", "own"])
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([merkle_root(d) for d in batch.column("digests").to_pylist()], pa.binary())], [*batch.schema.names, "root"])
-
     n_tokens = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)
-    headed = encoded.select("doc_id", n_tokens.alias("n_tokens"), "digests").mapInArrow(roots, f"doc_id {id_type}, n_tokens long, digests array<binary>, root binary").drop("digests")
+    headed = encoded.select("doc_id", n_tokens.alias("n_tokens"), "root")
     started = written(running_totals(headed, "doc_id", "n_tokens", "start"), "started")
     total = started.agg(F.coalesce(F.max(F.col("start") + F.col("n_tokens")), F.lit(0))).first()[0]
     file_ids = min(FILE_IDS, max(1, -(-total // parts)))
     placed = started.withColumn("file", F.floor(F.col("start") / F.lit(file_ids)).cast("long"))
     split_up = (
-        encoded.join(marks, "doc_id", "left")
+        encoded.drop("root").join(marks, "doc_id", "left")
         .join(placed, "doc_id")
         .select("doc_id", "file", "start", "n_tokens", "root", "ids", "digests", "sizes", "gone", "lent")
         .mapInArrow(split, f"doc_id {id_type}, file long, start long, n_tokens long, root binary, digests array<binary>, sizes array<int>, owned array<boolean>, lends array<boolean>, own binary")
