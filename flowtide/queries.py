@@ -13,7 +13,7 @@ from .functions.special import norm_cdf_sql, session_label
 from .operators import cleaning, features, gate, indicators, labels, learn, markouts, metrics, splits, vpin
 from .plans.series import DAY_NS, seconds
 from .sources import fixtures, synthetic
-from .sources.fixtures import DAILY_SQL, TICKS_SQL, bucket_volume
+from .sources.fixtures import BUCKET_VOLUME, DAILY_SQL, TICKS_SQL
 from .streaming import engine
 
 HORIZONS = (600, 3600, 21600, 86400)
@@ -99,15 +99,9 @@ def session_counts(spark, sf_dir):
     return ticks(spark, sf_dir).groupBy(session_label(hour).alias("session")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
-# VPIN. Bucket volumes follow the table's size, so the SQL takes the volume from the total: the three values are fixed.
+# VPIN. One bucket volume for tables of every size.
 
-
-def _v(spark: SparkSession, sf_dir: str) -> float:
-    return bucket_volume(sf_dir)
-
-
-_V = "(SELECT CASE WHEN count(*) <= 1000 THEN 20000 WHEN count(*) <= 10000 THEN 200000 ELSE 2000000 END FROM events)"
-_BUCKETS = f"""WITH {TICKS_SQL}, cfg AS (SELECT {_V}::DOUBLE AS v),
+_BUCKETS = f"""WITH {TICKS_SQL}, cfg AS (SELECT {BUCKET_VOLUME}::DOUBLE AS v),
 cum AS (SELECT *, sum(volume) OVER (ORDER BY ts_ns, seq) AS c FROM ticks WHERE volume > 0),
 closing AS (SELECT *, unnest(generate_series(cast(floor((c - volume) / v) AS BIGINT) + 1, cast(floor(c / v) AS BIGINT))) AS bucket FROM cum, cfg),
 dps AS (SELECT bucket, ts_ns AS ts_end, mid AS price_end, v, mid - coalesce(lag(mid) OVER (ORDER BY bucket), (SELECT arg_min(mid, (ts_ns, seq)) FROM ticks)) AS dp FROM closing),
@@ -120,18 +114,18 @@ ranked AS (SELECT *, CASE WHEN vpin IS NOT NULL AND (SELECT count(*) FROM rolled
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vpin.vpin(ticks(spark, sf_dir), _v(spark, sf_dir), window=10, slice_ns=SLICE)
+    return vpin.vpin(ticks(spark, sf_dir), BUCKET_VOLUME, window=10, slice_ns=SLICE)
 
 
 @query(_BUCKETS + f" SELECT bucket, ts_end, {r('price_end')} AS price_end, {r('v_buy', 3)} AS v_buy, {r('v_sell', 3)} AS v_sell, {r('order_imbalance')} AS order_imbalance, warmup FROM buckets")
 def vpin_buckets(spark, sf_dir):
-    b = vpin.buckets(ticks(spark, sf_dir), _v(spark, sf_dir), slice_ns=SLICE)
+    b = vpin.buckets(ticks(spark, sf_dir), BUCKET_VOLUME, slice_ns=SLICE)
     return b.select("bucket", "ts_end", F.round("price_end", 6).alias("price_end"), F.round("v_buy", 3).alias("v_buy"), F.round("v_sell", 3).alias("v_sell"), (F.round("order_imbalance", 6) + F.lit(0.0)).alias("order_imbalance"), "warmup")
 
 
 @query(_BUCKETS + f" SELECT bucket, {r('vpin')} AS vpin FROM rolled")
 def vpin_rolling(spark, sf_dir):
-    return rounded(vpin.rolling(vpin.buckets(ticks(spark, sf_dir), _v(spark, sf_dir), slice_ns=SLICE), 10).select("bucket", "vpin"))
+    return rounded(vpin.rolling(vpin.buckets(ticks(spark, sf_dir), BUCKET_VOLUME, slice_ns=SLICE), 10).select("bucket", "vpin"))
 
 
 @query(_BUCKETS + f" SELECT bucket, {r('vpin')} AS vpin, {r('vpin_pctile')} AS vpin_pctile FROM ranked")
@@ -144,7 +138,7 @@ def vpin_regime(spark, sf_dir):
     return readings(spark, sf_dir).groupBy(vpin.regime(F.col("vpin_pctile")).alias("regime")).agg(F.count("*").alias("n"))
 
 
-_TICK_BVC = f"""WITH {TICKS_SQL}, cfg AS (SELECT {_V}::DOUBLE AS v),
+_TICK_BVC = f"""WITH {TICKS_SQL}, cfg AS (SELECT {BUCKET_VOLUME}::DOUBLE AS v),
 steps AS (SELECT *, mid - lag(mid) OVER (ORDER BY ts_ns, seq) AS dp FROM ticks),
 cum AS (SELECT *, sum(volume) OVER (ORDER BY ts_ns, seq) AS c, count(dp) OVER w AS n, coalesce(sum(dp) OVER w, 0) AS s1, coalesce(sum(dp * dp) OVER w, 0) AS s2 FROM steps WHERE volume > 0
   WINDOW w AS (ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -156,13 +150,13 @@ filled AS (SELECT bucket, v, share * (least(c, bucket * v) - greatest(c - volume
 
 @query(_TICK_BVC + f" SELECT bucket, {r('sum(bought)', 3)} AS v_buy, {r('abs(2 * sum(bought) - any_value(v)) / any_value(v)')} AS order_imbalance FROM filled GROUP BY bucket HAVING bool_or(closes)")
 def vpin_tick_bvc(spark, sf_dir):
-    b = vpin.buckets(ticks(spark, sf_dir), _v(spark, sf_dir), granularity="tick", slice_ns=SLICE)
+    b = vpin.buckets(ticks(spark, sf_dir), BUCKET_VOLUME, granularity="tick", slice_ns=SLICE)
     return b.select("bucket", F.round("v_buy", 3).alias("v_buy"), (F.round("order_imbalance", 6) + F.lit(0.0)).alias("order_imbalance"))
 
 
 @query()
 def vpin_student_t(spark, sf_dir):
-    return vpin.vpin(ticks(spark, sf_dir), _v(spark, sf_dir), window=10, dist="student_t", df=0.25, slice_ns=SLICE)
+    return vpin.vpin(ticks(spark, sf_dir), BUCKET_VOLUME, window=10, dist="student_t", df=0.25, slice_ns=SLICE)
 
 
 @query(f"WITH {TICKS_SQL}, t AS (SELECT sum(volume) AS total_volume, greatest((max(ts_ns) - min(ts_ns)) / 86400e9::DOUBLE, 1e-9) AS days FROM ticks) SELECT total_volume, {r('days')} AS days, {r('least(total_volume / (days * 50), total_volume / 400)', 3)} AS bucket_volume FROM t")
@@ -173,7 +167,7 @@ def suggest_bucket_volume(spark, sf_dir):
 
 @query(_BUCKETS + f" SELECT {r('stddev_pop(dp)', 8)} AS sigma FROM dps")
 def full_sample_sigma(spark, sf_dir):
-    return rounded(vpin.full_sample_sigma(ticks(spark, sf_dir), _v(spark, sf_dir)), 8)
+    return rounded(vpin.full_sample_sigma(ticks(spark, sf_dir), BUCKET_VOLUME), 8)
 
 
 @query(_BUCKETS + f" SELECT f.fill_id, {r('k.vpin')} AS vpin, {r('k.vpin_pctile')} AS vpin_pctile FROM fills f ASOF LEFT JOIN (SELECT * FROM (SELECT ts_end, bucket, vpin, vpin_pctile, row_number() OVER (PARTITION BY ts_end ORDER BY bucket DESC) AS n FROM ranked) WHERE n = 1) k ON f.ts_ns >= k.ts_end")
@@ -344,12 +338,12 @@ def cp_table(spark, sf_dir):
     return features.counterparty_table(labelled(spark, sf_dir))
 
 
-_FFD = features.ffd_weights(0.4, 1e-2)
+_FFD = features.ffd_weights(0.4)
 
 
 @query(f"WITH {TICKS_SQL}, held AS (SELECT seq, list(mid) OVER (ORDER BY ts_ns, seq ROWS BETWEEN {len(_FFD) - 1} PRECEDING AND CURRENT ROW) AS l FROM ticks) SELECT seq, CASE WHEN len(l) = {len(_FFD)} THEN {r(f'list_dot_product(l, {_FFD}::DOUBLE[])')} END AS mid_ffd FROM held")
 def fracdiff(spark, sf_dir):
-    return rounded(features.frac_diff(ticks(spark, sf_dir), "mid", 0.4, least=1e-2).select("seq", "mid_ffd"))
+    return rounded(features.frac_diff(ticks(spark, sf_dir), "mid", 0.4).select("seq", "mid_ffd"))
 
 
 # Splits
@@ -509,7 +503,7 @@ def stream_vpin(spark, sf_dir):
     t = ticks(spark, sf_dir).withColumn("symbol", F.lit("EURUSD"))
     t.repartitionByRange(4, "ts_ns", "seq").write.parquet(f"{base}/in")
     source = spark.readStream.schema(t.schema).option("latestFirst", "false").parquet(f"{base}/in")
-    out = engine.stream(source, engine.Settings(_v(spark, sf_dir), window=10))
+    out = engine.stream(source, engine.Settings(BUCKET_VOLUME, window=10))
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
 

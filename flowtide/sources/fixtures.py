@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.series import prefix_sum
 
-#: Volume of a bucket that gives about 248 buckets, by table size.
-BUCKET_VOLUME = {"sf0.001": 20_000.0, "sf0.01": 200_000.0, "sf0.1": 2_000_000.0}
-
-
-def bucket_volume(sf_dir: str) -> float:
-    return BUCKET_VOLUME.get(sf_dir.rstrip("/").rsplit("/", 1)[-1], 200_000.0)
+#: Volume of a bucket, whatever the tables' size: 1,000 ticks make about 250 buckets, and their number grows with the ticks.
+BUCKET_VOLUME = 20_000.0
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
