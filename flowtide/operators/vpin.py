@@ -14,6 +14,9 @@ from ..plans.series import SLICE_NS, asof, prefix_sum, previous
 
 WINDOW, SIGMA_WARMUP, PERCENTILE_BINS, PERCENTILE_WARMUP, T_DF = 50, 20, 65_536, 30, 0.25
 BUCKETS_PER_DAY = 50
+#: Buckets that are ranked in one group, and the cells of values that earlier groups are counted by.
+SLICE_BUCKETS, CELLS = 4096, 65_536
+_SLICE = "_slice"
 
 
 def _buy_share(dp: str, sigma: str, dist: str, df: float) -> Column:
@@ -96,31 +99,59 @@ def rolling(closed: DataFrame, window: int = WINDOW, by: Sequence[str] = ()) ->
     return closed.withColumn("vpin", F.when(F.count("*").over(w) >= window, F.avg("order_imbalance").over(w)))
 
 
-def percentile(readings: DataFrame, warmup: int = PERCENTILE_WARMUP, bins: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def percentile(readings: DataFrame, warmup: int = PERCENTILE_WARMUP, bins: int | None = None, by: Sequence[str] = (), slice_buckets: int = SLICE_BUCKETS) -> DataFrame:
     """``readings`` with vpin_pctile: the share of readings so far at or below the present one, itself included; null
     for the first warmup - 1. ``bins`` counts in so many equal steps of [0, 1], as the streaming engine does.
 
-    A series' buckets are sorted into one list as they come: a few tens of thousands a year.
+    A series is cut into slices of so many buckets. A slice's own readings are ranked in a group of that size; those of
+    earlier slices are counted in pairs of slices, see _earlier(). Null and NaN readings count for nothing and come out null.
     """
-    schema = readings.withColumn("vpin_pctile", F.lit(0.0).cast("double")).schema
-    for f in schema.fields:
-        f.nullable = True
+    known = F.col("vpin").isNotNull() & ~F.isnan("vpin")
+    value = F.least(F.floor(F.col("vpin") * bins), F.lit(bins - 1)).cast("double") if bins else F.col("vpin")
+    d = readings.withColumns({_SLICE: F.floor(F.col("bucket") / slice_buckets).cast("long"), "_v": F.when(known, value)})
+    schema = d.withColumns({"_own": F.lit(0).cast("long"), "_seen": F.lit(0).cast("long")}).schema
 
     def rank(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket")
         seen: list[float] = []
-        out = []
-        for x in rows["vpin"]:
-            if pd.isna(x):
-                out.append(None)
-                continue
-            x = min(int(x * bins), bins - 1) if bins else x
-            insort(seen, x)
-            out.append(bisect_right(seen, x) / len(seen) if len(seen) >= warmup else None)
-        return rows.assign(vpin_pctile=pd.array(out, dtype="Float64").to_numpy(float, na_value=float("nan")))
-
-    ranked = readings.groupBy(*by).applyInPandas(rank, schema)
-    return ranked.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("vpin", "vpin_pctile")})
+        own, so_far = [], []
+        for x in rows["_v"]:
+            if not pd.isna(x):
+                insort(seen, x)
+            own.append(0 if pd.isna(x) else bisect_right(seen, x))
+            so_far.append(len(seen))
+        return rows.assign(_own=own, _seen=so_far)
+
+    ranked = d.groupBy(*by, _SLICE).applyInPandas(rank, schema)
+    ranked = ranked.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("vpin", "_v")})
+    sizes = d.groupBy(*by, _SLICE).agg(F.count("_v").alias("_n"))
+    before = sizes.select(*by, _SLICE, F.sum("_n").over(Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    both = ranked.join(before, [*by, _SLICE]).join(_earlier(d, bins or 1, by), [*by, _SLICE, "_v"], "left")
+    seen = F.col("_seen") + F.coalesce("_before", F.lit(0))
+    share = (F.col("_own") + F.coalesce("_earlier", F.lit(0))) / seen
+    return both.withColumn("vpin_pctile", F.when(F.col("_v").isNotNull() & (seen >= warmup), share)).select(*readings.columns, "vpin_pctile")
+
+
+def _earlier(d: DataFrame, scale: int, by: Sequence[str]) -> DataFrame:
+    """by, _slice, _v and _earlier: the readings of earlier slices at or below a slice's value.
+
+    Slices pair up level by level: at level l, those whose number has bit l set look back at the ones that share the
+    higher bits and lack it, so each earlier slice is met at one level. Values lie in [0, scale]. Windows run within a pair's cell of values; a
+    table of one row a cell (CELLS at most) carries the counts of lower cells.
+    """
+    counts = d.where("_v is not null").groupBy(*by, _SLICE, "_v").agg(F.count("*").alias("_n"))
+    last = d.agg(F.max(_SLICE).alias("_top"))
+    bit = F.expr(f"shiftright({_SLICE}, _level) & 1")
+    levels = F.when(F.col("_top") > 0, F.sequence(F.lit(0), F.length(F.bin("_top")) - 1))
+    rows = counts.crossJoin(F.broadcast(last)).withColumn("_level", F.explode(levels))
+    rows = rows.withColumns({"_pair": F.expr(f"shiftright({_SLICE}, _level + 1)"), "_late": bit == 1, "_cell": F.floor(F.least(F.greatest(F.col("_v") / scale, F.lit(0.0)), F.lit(1.0)) * CELLS).cast("int")})
+    pair = [*by, "_level", "_pair"]
+    early = F.when(F.col("_late"), 0).otherwise(F.col("_n"))
+    lower = Window.partitionBy(*pair).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*pair, "_cell").agg(F.sum(early).alias("_m")).select(*pair, "_cell", F.sum("_m").over(lower).alias("_lower"))
+    inside = Window.partitionBy(*pair, "_cell").orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_at", F.sum(early).over(inside)).where("_late").join(cells, [*pair, "_cell"])
+    return found.groupBy(*by, _SLICE, "_v").agg(F.sum(F.col("_at") + F.coalesce("_lower", F.lit(0))).alias("_earlier"))
 
 
 def vpin(ticks: DataFrame, bucket_volume: float, window: int = WINDOW, pctile_warmup: int = PERCENTILE_WARMUP, by: Sequence[str] = (), **options) -> DataFrame:

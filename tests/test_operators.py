@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,22 @@ def test_synthetic_and_gate_fold(spark):
     assert synthetic.lp_blotter(t, refresh_ticks=100, half_spread=1e-5, edge=1e-5).where("price is null").count() == 0
     assert synthetic.random_blotter(t, 10).count() == 10
     assert synthetic.split_ticks(t.limit(10), 4).count() == 40
+
+
+@pytest.mark.parametrize("bins", [None, 16])
+def test_percentile_over_slices_equals_brute_force(spark, bins):
+    rng = np.random.default_rng(3)
+    values = [None if i % 11 == 0 else float(rng.integers(0, 40)) / 40 for i in range(150)] + [0.5] * 30
+    rows = [(name, i + 1, x) for name, n in (("a", 180), ("b", 37)) for i, x in enumerate(values[:n])]
+    readings = spark.createDataFrame(rows, "symbol string, bucket long, vpin double")
+    got = {(r.symbol, r.bucket): r.vpin_pctile for r in vpin.percentile(readings, 5, bins, ["symbol"], slice_buckets=8).collect()}
+    step = lambda x: min(int(x * bins), bins - 1) if bins else x
+    assert len(got) == len(rows)
+    for name, i, x in rows:
+        seen = [step(y) for n, j, y in rows if n == name and j <= i and y is not None]
+        want = None if x is None or len(seen) < 5 else sum(y <= step(x) for y in seen) / len(seen)
+        assert got[name, i] == (want if want is None else pytest.approx(want))
+
+
+def test_percentile_of_no_readings(spark):
+    assert vpin.percentile(spark.createDataFrame([], "bucket long, vpin double")).count() == 0
