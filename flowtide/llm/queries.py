@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, line_dedup, mixing, packing, quality, substrings, token_counts, token_store, toxicity
+from . import divergence, fingerprints, jaccard, line_dedup, mixing, packing, quality, substrings, token_counts, token_store, toxicity, whitening, wrappers
 from .common import documents, scratch_path, written
 
 
@@ -101,5 +101,63 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(documents(spark, sf_dir)).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op7_substring_dedup, op8_mixing, op9_token_store, op10_jaccard_join)}
-ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT row_number() OVER () AS doc, lang, source,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS whole FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), counted AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(whole)::HUGEINT AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), totals AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total
+  FROM groups g LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), p AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * l.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (k.whole + 5)) // (l.total + 5 * l.v))::BIGINT AS q
+  FROM totals t JOIN langs l ON l.lang = t.lang JOIN kept k ON k.lang = t.lang
+  LEFT JOIN counted c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), both_parts AS (
+  SELECT * FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM both_parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, keep=["vec_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_toxicity, op2_fingerprints, op3_quality_rules, op4_packing, op5_line_dedup, op6_token_counts, op7_substring_dedup,
+    op8_mixing, op9_token_store, op10_jaccard_join, op11_source_divergence, op12_html_extraction, op13_embedding_whitening,
+)}
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_source_divergence": OP11_SQL}
