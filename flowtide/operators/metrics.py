@@ -142,18 +142,3 @@ def should_retrain(folds: DataFrame, auc_floor: float = 0.55, skill_floor: float
         return {"retrain": True, "reason": "no folds"}
     reasons = [f"{name} {value:.3f} is below {floor}" for name, value, floor in (("auc", recent["auc"], auc_floor), ("Brier skill", recent["skill"], skill_floor)) if value is not None and value < floor]
     return {"retrain": bool(reasons), "reason": "; ".join(reasons) or "within tolerance", "recent_auc": recent["auc"], "recent_brier_skill": recent["skill"]}
-
-
-def block_bootstrap(rows: DataFrame, block: str, metric, draws: int = 300, seed: int = 0, level: float = 0.95) -> dict:
-    """Confidence bounds of ``metric``, a function of (rows, weight column) giving one row (draw, value) for each draw.
-
-    Whole blocks (such as hours) are drawn with replacement: a draw weighs each block by how often it came up. Block
-    names go to the driver, the draws' weights back as one short table.
-    """
-    names = [r[0] for r in rows.select(block).distinct().orderBy(block).collect()]
-    rng = np.random.default_rng(seed)
-    counts = [(i, names[j], int(c)) for i in range(draws) for j, c in enumerate(np.bincount(rng.integers(0, len(names), len(names)), minlength=len(names))) if c]
-    weights = rows.sparkSession.createDataFrame(counts, ["draw", block, "weight"])
-    values = sorted(r["value"] for r in metric(rows.join(weights, block), "weight").collect() if r["value"] is not None)
-    low, high = np.quantile(values, [(1 - level) / 2, (1 + level) / 2]) if values else (None, None)
-    return {"low": low, "high": high, "mean": float(np.mean(values)) if values else None, "draws": len(values)}

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import norm_cdf_sql, session_label
-from .operators import cleaning, features, gate, indicators, labels, learn, markouts, metrics, splits, vpin
+from .operators import cleaning, features, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, vpin
+from .plans.scratch import scratch_path, written
 from .plans.series import DAY_NS, seconds
 from .sources import fixtures, synthetic
 from .sources.fixtures import BUCKET_VOLUME, DAILY_SQL, TICKS_SQL
@@ -346,6 +345,35 @@ def fracdiff(spark, sf_dir):
     return rounded(features.frac_diff(ticks(spark, sf_dir), "mid", 0.4).select("seq", "mid_ffd"))
 
 
+# Unit roots. Their regressions, lags and p-values are beyond SQL; tests compare them with plain least squares.
+
+
+@query()
+def stationarity_report(spark, sf_dir):
+    return stationarity.stationarity_report(ticks(spark, sf_dir), ("mid", "spread", "volume"), slice_ns=SLICE)
+
+
+@query()
+def min_ffd_order(spark, sf_dir):
+    return stationarity.min_ffd_order(ticks(spark, sf_dir), "mid", slice_ns=SLICE)
+
+
+@query()
+def ffd_features(spark, sf_dir):
+    """The columns that are differenced by default, each by the least order that makes it stationary."""
+    readings = vpin.vpin(ticks(spark, sf_dir), BUCKET_VOLUME, slice_ns=SLICE)
+    given = vpin.attach(featured(spark, sf_dir), readings, slice_ns=SLICE)
+    given = written(given.select("fill_id", "ts_ns", "seq", "vpin", "spread_mean"), "ffd-features")
+    out, orders = stationarity.add_fractional_differencing(given, slice_ns=SLICE)
+    chosen = [F.lit(d).alias(f"{c}_order") for c, d in orders.items()]
+    return out.select("fill_id", "vpin", "vpin_ffd", "spread_mean", "spread_mean_ffd", *chosen)
+
+
+@query()
+def feature_health_adf(spark, sf_dir):
+    return stationarity.health(featured(spark, sf_dir), features.CORE, slice_ns=SLICE)
+
+
 # Splits
 
 _EVENTS = f"WITH {TICKS_SQL}, ev AS (SELECT fill_id, ts_ns, row_number() OVER (ORDER BY ts_ns, seq) - 1 AS i FROM fills), span AS (SELECT count(*) AS n, cast(round(0.01::DOUBLE * (max(ts_ns) - min(ts_ns))) AS BIGINT) AS gap FROM ev)"
@@ -431,6 +459,31 @@ def gate_sweep(spark, sf_dir):
     return rounded(metrics.gate_sweep(scored(spark, sf_dir), "score", "pnl", _CUTS, 1e-5))
 
 
+@query()
+def holdout_scores(spark, sf_dir):
+    """evaluation's values, with bounds from 300 draws of hours."""
+    d = scored(spark, sf_dir).withColumn("hour", holdout.hour_blocks())
+    return rounded(holdout.holdout_scores(d.where("label >= 0"), "hour"))
+
+
+@query(
+    _SCORED
+    + f""", t AS (SELECT score, pnl, score >= 0.505 AS b FROM scored WHERE pnl IS NOT NULL)
+SELECT 0.505::DOUBLE AS threshold, {r('avg(b::INT)')} AS blocked_share, {r('sum(pnl)')} AS pnl_ungated, {r('coalesce(sum(pnl) FILTER (WHERE NOT b), 0)')} AS pnl_gated,
+  {r('CASE WHEN sum(pnl) <> 0 THEN -coalesce(sum(pnl) FILTER (WHERE b), 0) / abs(sum(pnl)) END')} AS uplift, {r('avg(pnl) FILTER (WHERE b)', 8)} AS mean_pnl_blocked, {r('avg(pnl) FILTER (WHERE NOT b)', 8)} AS mean_pnl_kept FROM t"""
+)
+def gate_points(spark, sf_dir):
+    means = [(F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("mean_pnl_blocked", "mean_pnl_kept")]
+    d = holdout.gate_points(scored(spark, sf_dir), 0.505)
+    return d.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("threshold", "blocked_share", "pnl_ungated", "pnl_gated", "uplift")], *means)
+
+
+@query()
+def gate_scores(spark, sf_dir):
+    """gate_points' values, with bounds of the uplift from 300 draws of hours."""
+    return rounded(holdout.gate_scores(scored(spark, sf_dir).withColumn("hour", holdout.hour_blocks()), 0.505, "hour"))
+
+
 @query(_SCORED + " SELECT fill_id, score < 0.505 AS act, round(CASE WHEN score < 0.505 THEN 1 - score / 0.505 ELSE 0 END, 6) + 0.0::DOUBLE AS size FROM scored")
 def meta_gate(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("fill_id", F.inline(F.array(gate.meta_label(F.col("score"), 0.505)))).select("fill_id", "act", "size"))
@@ -499,7 +552,7 @@ def logreg_scores(spark, sf_dir):
 @query()
 def stream_vpin(spark, sf_dir):
     """The realtime engine over the ticks as a file stream; one row a closed bucket."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='flowtide-')}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     t = ticks(spark, sf_dir).withColumn("symbol", F.lit("EURUSD"))
     t.repartitionByRange(4, "ts_ns", "seq").write.parquet(f"{base}/in")
     source = spark.readStream.schema(t.schema).option("latestFirst", "false").parquet(f"{base}/in")

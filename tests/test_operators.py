@@ -199,7 +199,7 @@ def test_readers(spark, tmp_path):
     assert readers.read_ticks(spark, fx).first()["volume_is_proxy"]
     hist = put("c.csv", "20240201 100000;1.1;1.2;1.0;1.15;9\n")
     h = readers.read_ticks(spark, hist).first()
-    assert (h["bid"], h["ask"], h["volume"]) == (pytest.approx(1.14995), pytest.approx(1.15005), 1.0)
+    assert (h["bid"], h["ask"], h["volume"]) == (pytest.approx(1.14996), pytest.approx(1.15004), 1.0)
     duka = put("d.csv", "time,ask,bid,ask_volume,bid_volume\n2024-02-01T10:00:00,1.2,1.1,1,2\n")
     assert readers.read_ticks(spark, duka).first()["bid_size"] == 2
     swapped = put("e.csv", "2024-02-01T10:00:00,1.1,1.2,1,2\n")
