@@ -13,7 +13,7 @@ from .plans.scratch import scratch_path, written
 from .plans.series import DAY_NS, seconds
 from .sources import fixtures, synthetic
 from .sources.fixtures import BUCKET_VOLUME, DAILY_SQL, TICKS_SQL
-from .streaming import engine
+from .streaming import engine, live
 
 HORIZONS = (600, 3600, 21600, 86400)
 H, THETA, GAP = 3600.0, 3e-4, 1800.0
@@ -555,10 +555,50 @@ def stream_vpin(spark, sf_dir):
     base = scratch_path(spark, "stream")
     t = ticks(spark, sf_dir).withColumn("symbol", F.lit("EURUSD"))
     t.repartitionByRange(4, "ts_ns", "seq").write.parquet(f"{base}/in")
-    source = spark.readStream.schema(t.schema).option("latestFirst", "false").parquet(f"{base}/in")
-    out = engine.stream(source, engine.Settings(BUCKET_VOLUME, window=10))
-    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return streamed(engine.stream(file_stream(spark, t, f"{base}/in"), engine.Settings(BUCKET_VOLUME, window=10)), base)
+
+
+def file_stream(spark: SparkSession, like: DataFrame, path: str, files: int = 1) -> DataFrame:
+    """The files of a folder as a stream, in the order of their names when written at once, so many a trigger."""
+    return spark.readStream.schema(like.schema).option("latestFirst", "false").option("maxFilesPerTrigger", files).parquet(path)
+
+
+def streamed(out: DataFrame, base: str) -> DataFrame:
+    """Runs a streaming query over all that its source has now; returns what it wrote."""
+    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def in_order(df: DataFrame, by: list[str], path: str, files: int = 6) -> None:
+    """Writes ``df`` as files in the order of time, one after the other, so that a stream reads them in that order."""
+    parts = df.repartitionByRange(files, *by).withColumn("_file", F.spark_partition_id())
+    parts = written(parts, "parts")
+    for k in range(files):
+        parts.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+
+
+@query(_FEATURES)
+def stream_features(spark, sf_dir):
+    """features_core's rows, from live features over a stream of ticks and fills."""
+    base = scratch_path(spark, "stream")
+    symbol = F.lit("EURUSD").alias("symbol")
+    events = live.ticks_and_fills(ticks(spark, sf_dir).select("*", symbol), fills(spark, sf_dir).select("*", symbol))
+    in_order(events, ["ts_ns"], f"{base}/in")
+    d = streamed(live.feature_stream(file_stream(spark, events, f"{base}/in"), SHORT, LONG), base)
+    nine = ("rv_short", "rv_long", "tick_rate", "spread_mean")
+    return d.select("fill_id", *[(F.round(c, 9 if c in nine else 6) + F.lit(0.0)).alias(c) for c in features.CORE])
+
+
+@query(_history(f"ORDER BY ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {seconds(H)} PRECEDING"))
+def stream_cp_history(spark, sf_dir):
+    """cp_history_delayed's rows, from live history over a stream of fills and of their labels an hour later."""
+    base = scratch_path(spark, "stream")
+    known = written(labelled(spark, sf_dir).select("counterparty_id", "fill_id", "ts_ns", "label"), "labelled")
+    events = live.fills_and_labels(known, known, H)
+    in_order(events, ["event_time"], f"{base}/in")
+    d = streamed(live.history_stream(file_stream(spark, events, f"{base}/in")), base)
+    return rounded(d.select("fill_id", "cp_fill_count", "cp_toxic_rate_hist"))
 
 
 # Indicators on daily bars
