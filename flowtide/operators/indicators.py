@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..plans.series import decayed_sums, numbered
+
 
 def _order(by: Sequence[str], order: str) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
@@ -29,26 +31,15 @@ def ema(bars: DataFrame, columns: dict[str, tuple[str, int]], by: Sequence[str]
     """``bars`` with exponential means: out -> (column, span), of weights (1 - a)^age with a = 2 / (span + 1), divided by
     their sum; nulls are passed over but age the others.
 
-    Each is a fold of numerator and denominator over the ordered history, carried in one array a series.
+    Numerators and denominators are decayed sums over slices of the history, see series.decayed_sums().
     """
-    names = bars.columns
-    rows = bars.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[F.col(c) for c in names]).alias("_r")))).alias("_all"))
+    d = numbered(bars, order, "_i", by)
     for out, (column, span) in columns.items():
-        keep = 1 - 2 / (span + 1)
-        start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"), F.array().cast("array<double>").alias("out"))
-
-        rows = rows.withColumn(f"_e_{out}", F.aggregate("_all", start, _aged(column, keep), lambda s: s["out"]))
-    zipped = F.arrays_zip(F.col("_all"), *[F.col(f"_e_{out}") for out in columns])
-    return rows.select(F.explode(zipped).alias("_z")).select(*[F.col(f"_z._all._r.{c}").alias(c) for c in names], *[F.col(f"_z._e_{out}").alias(out) for out in columns])
-
-
-def _aged(column: str, keep: float):
-    def step(s: Column, r: Column) -> Column:
-        x = r["_r"][column].cast("double")
-        num, den = s["n"] * keep + F.coalesce(x, F.lit(0.0)), s["d"] * keep + F.when(x.isNull(), 0.0).otherwise(1.0)
-        return F.struct(num.alias("n"), den.alias("d"), F.concat(s["out"], F.array(F.when(den > 0, num / den))).alias("out"))
-
-    return step
+        x = F.col(column).cast("double")
+        there = F.when(x.isNull(), 0.0).otherwise(1.0)
+        d = decayed_sums(d, {"_num": x, "_den": there}, 1 - 2 / (span + 1), by, "_i")
+        d = d.withColumn(out, F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))).drop("_num", "_den")
+    return d.drop("_i")
 
 
 def signal(long: Column, short: Column | None = None) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import norm_cdf, student_t_cdf
-from ..plans.series import SLICE_NS, asof, prefix_sum, previous
+from ..deploy import ship
+from ..plans.scratch import written
+from ..plans.series import SLICE_NS, asof, lent_to_next, prefix_sum, previous
 
 WINDOW, SIGMA_WARMUP, PERCENTILE_BINS, PERCENTILE_WARMUP, T_DF = 50, 20, 65_536, 30, 0.25
 BUCKETS_PER_DAY = 50
@@ -60,19 +62,22 @@ def buckets(
     """Closed buckets: bucket, ts_end, price_end, dp, v_buy, v_sell, order_imbalance, warmup.
 
     ``sigma`` None takes the population deviation of earlier price changes (of buckets, or of ticks with granularity
-    'tick'); a number is used as it is. Buckets are far fewer than ticks, so windows over them run by series.
+    'tick'); a number is used as it is. Closed buckets are written as a table once; windows over them run in slices of
+    SLICE_BUCKETS, whose first bucket gets the last price before it and whose totals come from a table of one row a slice.
     """
     v = F.lit(float(bucket_volume))
-    order = Window.partitionBy(*by).orderBy("bucket")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     if granularity == "bucket":
         first = ticks.groupBy(*by).agg(F.min_by("mid", F.struct("ts_ns", "seq")).alias("_first"))
         b = volume_clock(ticks, bucket_volume, by, slice_ns).where("closes").select(*by, "bucket", F.col("ts_ns").alias("ts_end"), F.col("mid").alias("price_end"))
+        b = _price_changes(written(b, "buckets"), by)
         b = b.join(first, list(by)) if by else b.crossJoin(F.broadcast(first))
-        b = b.withColumn("dp", F.col("price_end") - F.coalesce(F.lag("price_end").over(order), F.col("_first"))).drop("_first")
-        spread = F.when(F.count("dp").over(earlier) >= 2, F.stddev_pop("dp").over(earlier)).otherwise(0.0) if sigma is None else F.lit(float(sigma))
-        b = b.withColumn("_sigma", spread).withColumn("v_buy", v * _buy_share("dp", "_sigma", dist, df))
-        warm = F.count("dp").over(earlier) < sigma_warmup
+        b = b.withColumn("dp", F.coalesce("dp", F.col("price_end") - F.col("_first"))).drop("_first")
+        if sigma is None:
+            b = _earlier_deviation(b, by)
+        else:
+            b = b.withColumns({"_sigma": F.lit(float(sigma)), "_n": F.lit(0).cast("long")})
+        b = b.withColumn("v_buy", v * _buy_share("dp", "_sigma", dist, df))
+        warm = F.col("_n") < sigma_warmup
     elif granularity == "tick":
         t = previous(ticks, {"_last": "mid"}, by, slice_ns).where("volume > 0").withColumn("dp", F.col("mid") - F.col("_last"))
         for name, value in (("_n", F.when(F.col("dp").isNotNull(), 1).otherwise(0).cast("long")), ("_s1", F.coalesce("dp", F.lit(0.0))), ("_s2", F.coalesce(F.col("dp") * F.col("dp"), F.lit(0.0)))):
@@ -84,7 +89,7 @@ def buckets(
         closing = F.when(F.col("closes"), F.struct("ts_ns", "mid", "_n"))
         b = parts.groupBy(*by, "bucket").agg(F.sum(F.col("take") * F.col("_share")).alias("v_buy"), F.max(closing).alias("_c")).where("_c is not null")
         b = b.select(*by, "bucket", F.col("_c.ts_ns").alias("ts_end"), F.col("_c.mid").alias("price_end"), "v_buy", F.col("_c._n").alias("_n"))
-        b = b.withColumn("dp", F.col("price_end") - F.lag("price_end").over(order))
+        b = _price_changes(written(b, "buckets"), by)
         warm = F.col("_n") < sigma_warmup
     else:
         raise ValueError(f"unknown granularity: {granularity!r}")
@@ -93,40 +98,88 @@ def buckets(
     return b.select(*by, "bucket", "ts_end", "price_end", "dp", "v_buy", "v_sell", "order_imbalance", "warmup")
 
 
+def _price_changes(closed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``closed`` with dp: its price less the one of the bucket before, null for the first."""
+    d = lent_to_next(closed, "bucket", SLICE_BUCKETS, 1)
+    return d.withColumn("dp", F.col("price_end") - F.lag("price_end").over(Window.partitionBy(*by, _SLICE).orderBy("bucket"))).where("NOT _lent").drop("_lent", _SLICE)
+
+
+def _earlier_deviation(b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``b`` with _n and _sigma: how many earlier buckets there are and the population deviation of their dp, 0 under two.
+
+    Within a slice both come from a window; earlier slices add their count, sum and squares about their mean.
+    """
+    d = b.withColumn(_SLICE, F.floor((F.col("bucket") - 1) / SLICE_BUCKETS).cast("long"))
+    own = d.groupBy(*by, _SLICE).agg(F.count("dp").alias("_m"), F.avg("dp").alias("_mean"), F.var_pop("dp").alias("_var"))
+    lower = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(lower), F.lit(0.0))
+    before = own.select(
+        *by,
+        _SLICE,
+        total(F.col("_m").cast("double")).alias("_bn"),
+        total(F.col("_m") * F.col("_mean")).alias("_bs"),
+        total(F.col("_m") * (F.col("_var") + F.col("_mean") * F.col("_mean"))).alias("_bq"),
+    )
+    w = Window.partitionBy(*by, _SLICE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"_wn": F.count("dp").over(w).cast("double"), "_wm": F.coalesce(F.avg("dp").over(w), F.lit(0.0)), "_wv": F.coalesce(F.var_pop("dp").over(w), F.lit(0.0))})
+    d = d.join(before, [*by, _SLICE])
+    n = F.col("_bn") + F.col("_wn")
+    mean_before = F.coalesce(F.try_divide("_bs", "_bn"), F.lit(0.0))
+    apart = F.col("_wm") - mean_before
+    squares = F.greatest(F.col("_bq") - F.col("_bs") * mean_before, F.lit(0.0)) + F.col("_wn") * F.col("_wv") + apart * apart * F.col("_bn") * F.col("_wn") / F.nullif(n, F.lit(0.0))
+    d = d.withColumns({"_n": n.cast("long"), "_sigma": F.when(n >= 2, F.sqrt(F.greatest(squares, F.lit(0.0)) / n)).otherwise(0.0)})
+    return d.drop(_SLICE, "_bn", "_bs", "_bq", "_wn", "_wm", "_wv")
+
+
 def rolling(closed: DataFrame, window: int = WINDOW, by: Sequence[str] = ()) -> DataFrame:
-    """``closed`` with vpin: the mean imbalance of the last ``window`` buckets, null until there are so many."""
-    w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(-(window - 1), 0)
-    return closed.withColumn("vpin", F.when(F.count("*").over(w) >= window, F.avg("order_imbalance").over(w)))
+    """``closed`` with vpin: the mean imbalance of the last ``window`` buckets, null until there are so many.
+
+    Slices of buckets are averaged apart; the last window - 1 buckets of each are lent to the next.
+    """
+    d = lent_to_next(closed, "bucket", max(SLICE_BUCKETS, window), window - 1)
+    w = Window.partitionBy(*by, _SLICE).orderBy("bucket").rowsBetween(-(window - 1), 0)
+    d = d.withColumn("vpin", F.when(F.count("*").over(w) >= window, F.avg("order_imbalance").over(w)))
+    return d.where("NOT _lent").drop("_lent", _SLICE)
+
+
+def ranks_so_far(values: np.ndarray, block: int = 512) -> np.ndarray:
+    """For each value, how many of the values up to it, itself included, are at or below it; nan ranks and counts 0."""
+    out = np.zeros(len(values), np.int64)
+    for a in range(0, len(values), block):
+        b = min(a + block, len(values))
+        below = values[None, :b] <= values[a:b, None]
+        out[a:b] = (below & (np.arange(b)[None, :] <= np.arange(a, b)[:, None])).sum(axis=1)
+    return out
 
 
 def percentile(readings: DataFrame, warmup: int = PERCENTILE_WARMUP, bins: int | None = None, by: Sequence[str] = (), slice_buckets: int = SLICE_BUCKETS) -> DataFrame:
     """``readings`` with vpin_pctile: the share of readings so far at or below the present one, itself included; null
     for the first warmup - 1. ``bins`` counts in so many equal steps of [0, 1], as the streaming engine does.
 
-    A series is cut into slices of so many buckets. A slice's own readings are ranked in a group of that size; those of
-    earlier slices are counted in pairs of slices, see _earlier(). Null and NaN readings count for nothing and come out null.
+    Readings are written as a table once and cut into slices of so many buckets. A slice's own readings are ranked in a
+    group of that size; those of earlier slices are counted in pairs of slices, see _earlier(). Null and NaN readings
+    count for nothing and come out null.
     """
+    ship(readings.sparkSession)
     known = F.col("vpin").isNotNull() & ~F.isnan("vpin")
     value = F.least(F.floor(F.col("vpin") * bins), F.lit(bins - 1)).cast("double") if bins else F.col("vpin")
-    d = readings.withColumns({_SLICE: F.floor(F.col("bucket") / slice_buckets).cast("long"), "_v": F.when(known, value)})
+    d = written(readings.withColumns({_SLICE: F.floor(F.col("bucket") / slice_buckets).cast("long"), "_v": F.when(known, value)}), "readings")
     schema = d.withColumns({"_own": F.lit(0).cast("long"), "_seen": F.lit(0).cast("long")}).schema
 
     def rank(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket")
-        seen: list[float] = []
-        own, so_far = [], []
-        for x in rows["_v"]:
-            if not pd.isna(x):
-                insort(seen, x)
-            own.append(0 if pd.isna(x) else bisect_right(seen, x))
-            so_far.append(len(seen))
-        return rows.assign(_own=own, _seen=so_far)
+        values = rows["_v"].to_numpy(np.float64, na_value=np.nan)
+        return rows.assign(_own=ranks_so_far(values), _seen=np.cumsum(~np.isnan(values)))
 
     ranked = d.groupBy(*by, _SLICE).applyInPandas(rank, schema)
     ranked = ranked.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("vpin", "_v")})
     sizes = d.groupBy(*by, _SLICE).agg(F.count("_v").alias("_n"))
     before = sizes.select(*by, _SLICE, F.sum("_n").over(Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    both = ranked.join(before, [*by, _SLICE]).join(_earlier(d, bins or 1, by), [*by, _SLICE, "_v"], "left")
+    both = ranked.join(before, [*by, _SLICE])
+    if d.select(_SLICE).distinct().limit(2).count() > 1:
+        both = both.join(_earlier(d, bins or 1, by), [*by, _SLICE, "_v"], "left")
+    else:
+        both = both.withColumn("_earlier", F.lit(0).cast("long"))
     seen = F.col("_seen") + F.coalesce("_before", F.lit(0))
     share = (F.col("_own") + F.coalesce("_earlier", F.lit(0))) / seen
     return both.withColumn("vpin_pctile", F.when(F.col("_v").isNotNull() & (seen >= warmup), share)).select(*readings.columns, "vpin_pctile")

@@ -7,11 +7,14 @@ slice. So one long series spreads over as many tasks as it has slices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 DAY_NS = 86_400_000_000_000
 SLICE_NS = DAY_NS
 _SLICE = "_slice"
@@ -97,3 +100,67 @@ def trailing(left: DataFrame, right: DataFrame, aggregates: dict[str, Column], w
     for name, agg in aggregates.items():
         both = both.withColumn(name, agg.over(w))
     return both.where("_mine").select(key, *aggregates)
+
+
+def numbered(df: DataFrame, order: str, out: str = "_i", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``out``: 1, 2, ... in the order of a column of any kind, from ranges of it and a table of one row a range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(n, *by, order).withColumn(_SLICE, F.spark_partition_id().cast("long")), "ranges")
+    counts = ranged.groupBy(*by, _SLICE).agg(F.count("*").alias("_t"))
+    before = counts.withColumn("_b", F.sum("_t").over(_over_slices(by).rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
+    placed = _attach(ranged, before, by).withColumn(out, F.coalesce("_b", F.lit(0)) + F.row_number().over(inside(by, [order])))
+    return placed.drop("_b", _SLICE)
+
+
+#: Rows of a slice of decayed sums, at most, and the smallest factor within one.
+DECAY_ROWS, DECAY_LEAST = 4096, 1e-100
+
+
+def decayed_sums(df: DataFrame, values: dict[str, Column], keep: float, by: Sequence[str] = (), at: str = "_i") -> DataFrame:
+    """``df`` with, for each name, the sum of its value over this and all earlier rows, times keep^(rows between).
+
+    Rows are numbered by ``at`` from 1. A slice's sums are running sums of values that are scaled up by their place, then
+    scaled down; slices are short enough for that. What earlier slices carry over is the same kind of sum over the slices'
+    last sums, so slices are scanned by this function too, until the factor of a slice is nothing: then the last few
+    slices are all that is left to carry.
+    """
+    keep = max(keep, 1e-30)
+    rows = max(1, min(DECAY_ROWS, int(math.log(DECAY_LEAST) / math.log(keep)))) if keep < 1 else DECAY_ROWS
+    place = F.pmod(F.col(at) - 1, F.lit(rows)) + 1
+    d = df.withColumns({_SLICE: F.floor((F.col(at) - 1) / rows).cast("long"), "_p": place})
+    d = d.withColumns({f"_v{k}": F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in enumerate(values.values())})
+    names = [f"_v{k}" for k in range(len(values))]
+    ends = d.groupBy(*by, _SLICE).agg(*[F.sum(F.col(v) * F.pow(F.lit(keep), rows - F.col("_p"))).alias(v) for v in names])
+    factor = keep**rows
+    earlier = _over_slices(by)
+    if factor <= 10 * DECAY_LEAST:
+        # Two slices back is 1e-100 of this already; missing slices between would only make it less.
+        known = F.max_by(F.struct(_SLICE, *names), F.when(F.greatest(*[F.abs(v) for v in names]) > 0, F.col(_SLICE)))
+        last = ends.withColumn("_l", known.over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+        fade = F.pow(F.lit(factor), F.col(_SLICE) - F.col(f"_l.{_SLICE}") - 1)
+        carried = last.select(*by, _SLICE, *[(F.col(f"_l.{v}") * fade).alias(f"_c{v}") for v in names])
+    else:
+        ends = written(ends, "slices")
+        if not ends.where(F.col(_SLICE) > 0).take(1):
+            carried = ends.select(*by, _SLICE, *[F.lit(0.0).alias(f"_c{v}") for v in names])
+        else:
+            # The sums up to slice s, which is row s + 1 of this table, go to slice s + 1.
+            slices = ends.withColumn("_k", F.col(_SLICE) + 1)
+            scanned = decayed_sums(slices, {f"_t{v}": F.col(v) for v in names}, factor, by, "_k")
+            carried = scanned.select(*by, F.col("_k").alias(_SLICE), *[F.col(f"_t{v}").alias(f"_c{v}") for v in names])
+    d = _attach(d, carried, by)
+    w = inside(by, [at]).rowsBetween(Window.unboundedPreceding, 0)
+    down = F.pow(F.lit(keep), F.col("_p"))
+    sums = {
+        out: (F.sum(F.col(v) * F.pow(F.lit(keep), -F.col("_p"))).over(w) + F.coalesce(F.col(f"_c{v}"), F.lit(0.0))) * down
+        for out, v in zip(values, names)
+    }
+    return d.withColumns(sums).drop(_SLICE, "_p", *names, *[f"_c{v}" for v in names])
+
+
+def lent_to_next(df: DataFrame, at: str, rows: int, back: int) -> DataFrame:
+    """``df`` cut into slices of so many rows by ``at``, numbered from 1; the last ``back`` of a slice are in the next one too,
+    with ``_lent`` true."""
+    inside_slice = F.pmod(F.col(at) - 1, F.lit(rows))
+    d = df.withColumn("_lent", F.explode(F.when(inside_slice >= rows - back, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return d.withColumn(_SLICE, F.floor((F.col(at) - 1) / rows).cast("long") + F.col("_lent").cast("long"))
