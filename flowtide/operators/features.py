@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import session_label
-from ..plans.series import DAY_NS, SLICE_NS, asof, prefix_sum, previous, seconds, trailing
+from ..plans.series import _SLICE, DAY_NS, SLICE_NS, inside, prefix_sum, seconds, sliced
 
 SHORT, LONG, PRIOR_RATE, PRIOR_WEIGHT = 60.0, 900.0, 0.5, 5.0
 CORE = ("spread", "obi", "micro_dev", "rv_short", "rv_long", "vol_short", "vol_long", "size_rel_vol", "tick_rate", "spread_mean", "spread_rel", "dt_last_tick", "sec_of_day")
@@ -22,38 +22,118 @@ def core_features(fills: DataFrame, ticks: DataFrame, short_seconds: float = SHO
 
     Windows are [t - width, t] with both ends; the first return in a window reaches back to the tick before it. Without
     a tick at or before the fill all are null; shares with nothing below them are null.
+
+    A sum over a window is the difference of two running sums, at its end and just before its start. So a fill asks at
+    three times, and all of them meet the ticks in one pass over slices, whatever the widths; the running sums, the last
+    tick and the quote's age come over from earlier slices in a table of one row a slice. Ticks are read twice.
     """
-    t = previous(ticks, {"_mid": "mid", "_ts": "ts_ns"}, by, slice_ns)
-    ret = F.log(F.col("mid") / F.col("_mid"))
-    depth = F.col("bid_size") + F.col("ask_size")
-    micro = ((F.col("bid") * F.col("ask_size") + F.col("ask") * F.col("bid_size")) / depth - (F.col("bid") + F.col("ask")) / 2) / (F.col("ask") - F.col("bid"))
-    t = t.withColumns(
+    key = [*by, "fill_id"]
+    t = sliced(ticks.select(*by, "ts_ns", "seq", "bid", "ask", "mid", "bid_size", "ask_size", "volume"), slice_ns)
+    inside_slice = inside(by)
+    back = F.lag(F.struct("mid", "ts_ns")).over(inside_slice)
+    per_tick = t.withColumn("_b", back).withColumn("_sq", _square(F.col("mid"), F.col("_b.mid")))
+    spread = F.col("ask") - F.col("bid")
+    totals = per_tick.groupBy(*by, _SLICE).agg(
+        F.sum("_sq").alias("_sq"),
+        F.sum("volume").alias("_vol"),
+        F.sum(spread).alias("_spr"),
+        F.count("mid").alias("_n"),
+        F.min_by("mid", F.struct("ts_ns", "seq")).alias("_first"),
+        F.max_by(F.struct("bid", "ask", "mid", "bid_size", "ask_size", "ts_ns", F.col("_b.ts_ns").alias("before")), F.struct("ts_ns", "seq")).alias("_last"),
+    )
+    over = Window.partitionBy(*by).orderBy(_SLICE)
+    totals = totals.withColumn("_prev", F.lag("_last").over(over))
+    # The first tick of a slice returns from the last one before it, and that one's age may reach a slice further back.
+    totals = totals.withColumns(
         {
-            "_sq": F.coalesce(ret * ret, F.lit(0.0)),
-            "spread": F.col("ask") - F.col("bid"),
-            "obi": F.when(depth > 0, (F.col("bid_size") - F.col("ask_size")) / depth).otherwise(0.0),
-            "micro_dev": F.when((depth > 0) & (F.col("ask") > F.col("bid")), micro).otherwise(0.0),
-            "dt_last_tick": (F.col("ts_ns") - F.col("_ts")) / 1e9,
-            "sec_of_day": F.pmod("ts_ns", F.lit(DAY_NS)) / 1e9,
+            "_sq": F.coalesce("_sq", F.lit(0.0)) + F.coalesce(_square(F.col("_first"), F.col("_prev.mid")), F.lit(0.0)),
+            "_last": F.col("_last").withField("before", F.coalesce("_last.before", "_prev.ts_ns")),
         }
     )
-    now = asof(fills, t, ["spread", "obi", "micro_dev", "dt_last_tick", "sec_of_day"], by, slice_ns)
-    near = trailing(fills, t, {"_sq_s": F.sum("_sq"), "vol_short": F.sum("volume"), "_n_s": F.count("mid"), "_spread_s": F.avg("spread")}, seconds(short_seconds), by)
-    far = trailing(fills, t, {"_sq_l": F.sum("_sq"), "vol_long": F.sum("volume")}, seconds(long_seconds), by)
-    d = now.join(near, "fill_id").join(far, "fill_id")
-    known = F.col("sec_of_day").isNotNull()
+    carried = totals.select(*by, _SLICE, *[F.sum(c).over(over).alias(c) for c in _RUNNING], "_last")
+
+    probes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(back_ns).alias("back")) for i, back_ns in enumerate((0, seconds(short_seconds) + 1, seconds(long_seconds) + 1))])
+    asked = fills.select(*key, "ts_ns", F.explode(probes).alias("_q"))
+    asked = sliced(asked.select(*key, F.col("_q.i").alias("_kind"), (F.col("ts_ns") - F.col("_q.back")).alias("ts_ns")), slice_ns)
+    both = t.withColumn("_kind", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
+    # Ticks come before the fills of their time; probes have no seq.
+    w = Window.partitionBy(*by, _SLICE).orderBy("ts_ns", F.when(F.col("_kind") < 0, 0).otherwise(1), "seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    is_tick = F.when(F.col("_kind") < 0, F.lit(1))
+    earlier = F.last(F.when(F.col("_kind") < 0, F.struct("mid", "ts_ns")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("_b", earlier).withColumn("_ret2", F.when(F.col("_kind") < 0, _square(F.col("mid"), F.col("_b.mid"))))
+    own = F.when(F.col("_kind") < 0, F.struct("bid", "ask", "mid", "bid_size", "ask_size", "ts_ns", F.col("_b.ts_ns").alias("before")))
+    both = both.withColumns(
+        {
+            "_now": F.last(own, ignorenulls=True).over(so_far),
+            "_own_first": F.first(F.when(F.col("_kind") < 0, F.col("mid")), ignorenulls=True).over(so_far),
+            "_own_sq": F.sum("_ret2").over(so_far),
+            "_own_vol": F.sum("volume").over(so_far),
+            "_own_spr": F.sum(spread).over(so_far),
+            "_own_n": F.count(is_tick).over(so_far),
+        }
+    ).where("_kind >= 0")
+    found = both.join(_before(asked, carried, by), [*by, _SLICE], "left")
+    age = F.col("_now.before")
+    found = found.select(
+        *key,
+        "_kind",
+        F.struct(
+            (_or_zero("_sq") + _or_zero("_own_sq") + F.coalesce(_square(F.col("_own_first"), F.col("_last.mid")), F.lit(0.0))).alias("sq"),
+            (_or_zero("_vol") + _or_zero("_own_vol")).alias("vol"),
+            (_or_zero("_spr") + _or_zero("_own_spr")).alias("spr"),
+            (_or_zero("_n") + _or_zero("_own_n")).alias("n"),
+            F.coalesce(F.col("_now").withField("before", F.coalesce(age, "_last.ts_ns")), "_last").alias("tick"),
+        ).alias("_s"),
+    )
+    at = {k: F.max(F.when(F.col("_kind") == i, F.col("_s"))).alias(k) for i, k in enumerate(("_t", "_near", "_far"))}
+    d = fills.join(found.groupBy(*key).agg(*at.values()), key, "left")
+
+    bid, ask, bs, as_ = (F.col(f"_t.tick.{c}") for c in ("bid", "ask", "bid_size", "ask_size"))
+    depth = bs + as_
+    micro = ((bid * as_ + ask * bs) / depth - (bid + ask) / 2) / (ask - bid)
+    known = F.col("_t.tick").isNotNull()
+    within = lambda end, c: F.greatest(F.col(f"_t.{c}") - F.col(f"{end}.{c}"), F.lit(0.0))
+    count = F.col("_t.n") - F.col("_near.n")
     d = d.withColumns(
         {
-            "rv_short": F.when(known, F.sqrt(F.coalesce("_sq_s", F.lit(0.0)))),
-            "rv_long": F.when(known, F.sqrt(F.coalesce("_sq_l", F.lit(0.0)))),
-            "vol_short": F.when(known, F.coalesce("vol_short", F.lit(0.0))),
-            "vol_long": F.when(known, F.coalesce("vol_long", F.lit(0.0))),
-            "tick_rate": F.when(known, F.coalesce("_n_s", F.lit(0)) / short_seconds),
-            "spread_mean": F.col("_spread_s"),
+            "spread": ask - bid,
+            "obi": F.when(known, F.when(depth > 0, (bs - as_) / depth).otherwise(0.0)),
+            "micro_dev": F.when(known, F.when((depth > 0) & (ask > bid), micro).otherwise(0.0)),
+            "rv_short": F.when(known, F.when(count > 0, F.sqrt(within("_near", "sq"))).otherwise(0.0)),
+            "rv_long": F.when(known, F.when(F.col("_t.n") > F.col("_far.n"), F.sqrt(within("_far", "sq"))).otherwise(0.0)),
+            "vol_short": F.when(known, within("_near", "vol")),
+            "vol_long": F.when(known, within("_far", "vol")),
+            "tick_rate": F.when(known, count / short_seconds),
+            "spread_mean": F.when(count > 0, within("_near", "spr") / count),
+            "dt_last_tick": (F.col("_t.tick.ts_ns") - F.col("_t.tick.before")) / 1e9,
+            "sec_of_day": F.pmod(F.col("_t.tick.ts_ns"), F.lit(DAY_NS)) / 1e9,
         }
     )
-    d = d.withColumns({"size_rel_vol": F.try_divide("size", "vol_short"), "spread_rel": F.when(F.col("_spread_s") > 0, F.col("spread") / F.col("_spread_s"))})
-    return d.drop("_sq_s", "_n_s", "_spread_s", "_sq_l")
+    d = d.withColumns({"size_rel_vol": F.try_divide("size", "vol_short"), "spread_rel": F.when(F.col("spread_mean") > 0, F.col("spread") / F.col("spread_mean"))})
+    return d.drop("_t", "_near", "_far")
+
+
+_RUNNING = ("_sq", "_vol", "_spr", "_n")
+
+
+def _square(mid: Column, before: Column) -> Column:
+    """The squared log return; null without a mid before."""
+    ret = F.log(mid / before)
+    return ret * ret
+
+
+def _or_zero(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(0))
+
+
+def _before(rows: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
+    """For each slice of ``rows``, what ``carried`` says at the end of the last slice before it; slices may lack ticks."""
+    slices = rows.select(*by, _SLICE).distinct().withColumn("_mine", F.lit(True))
+    values = F.struct(*_RUNNING, "_last")
+    both = slices.unionByName(carried.select(*by, _SLICE, values.alias("_c")), allowMissingColumns=True)
+    lower = Window.partitionBy(*by).orderBy(_SLICE).rangeBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("_c", F.last("_c", ignorenulls=True).over(lower)).where("_mine").select(*by, _SLICE, "_c.*")
 
 
 def counterparty_history(fills: DataFrame, delay_seconds: float = 0.0, rate: float = PRIOR_RATE, weight: float = PRIOR_WEIGHT, by: Sequence[str] = ()) -> DataFrame:

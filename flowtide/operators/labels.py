@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
 from ..plans.series import SLICE_NS, asof, seconds
 from .markouts import column
+from .quantiles import quantiles
 
 RULES, CENTERS = ("markout_threshold", "crossback", "triple_barrier"), ("mid_at_fill", "exec_price")
 
@@ -125,6 +127,18 @@ def suggest_theta(ticks: DataFrame, horizon_seconds: float = 60.0, vol_multiple:
     return d.withColumn("theta", F.col("horizon_vol") * vol_multiple)
 
 
+def suggested_labels(fills: DataFrame, ticks: DataFrame, horizon_seconds: float = 60.0, vol_multiple: float = 1.0, sample: int = 5000, **options) -> DataFrame:
+    """One row: theta and horizon_vol of suggest_theta(), vol_multiple, and what triple_barrier labels make of that theta:
+    toxic_rate of the decided fills and n_resolved, their number. Raises where no window fits."""
+    found = suggest_theta(ticks, horizon_seconds, vol_multiple, sample).first()
+    if found["theta"] is None:
+        raise ValueError(f"no window of {horizon_seconds} s fits inside the ticks")
+    labelled = label(fills, ticks, "triple_barrier", horizon_seconds=horizon_seconds, theta=found["theta"], **options)
+    fixed = {"theta": found["theta"], "horizon_vol": found["horizon_vol"], "vol_multiple": float(vol_multiple)}
+    decided = F.when(F.col("label") >= 0, F.col("label").cast("double"))
+    return labelled.agg(F.avg(decided).alias("toxic_rate"), F.count(decided).alias("n_resolved")).select(*[F.lit(v).alias(k) for k, v in fixed.items()], "toxic_rate", "n_resolved")
+
+
 def adverse_excursion(fills: DataFrame, ticks: DataFrame, horizon_seconds: float, by: Sequence[str] = (), slice_ns: int = SLICE_NS) -> DataFrame:
     """fill_id and excursion: how far the mid goes beyond the price, in the client's favour, within the horizon; null
     where crossback is undecidable. Whether crossback finds a fill toxic at any min_adverse is whether that is reached."""
@@ -149,8 +163,10 @@ def barrier_rates(excursions: DataFrame, thetas: Sequence[float] | None = None)
 
 def calibrate_crossback(excursions: DataFrame, target_rate: float = 0.30, low: float = 1e-7, high: float = 1e-1) -> dict:
     """The min_adverse at which about ``target_rate`` of the fills are toxic: a quantile of the excursions."""
-    r = excursions.agg(F.percentile("excursion", F.lit(1 - target_rate)).alias("q"), F.avg((F.col("excursion") >= low).cast("double")).alias("top"), F.avg((F.col("excursion") >= high).cast("double")).alias("bottom")).first()
-    if r["q"] is None or not r["bottom"] <= target_rate <= r["top"]:
+    excursions = written(excursions.select("excursion"), "excursions")
+    r = excursions.agg(F.avg((F.col("excursion") >= low).cast("double")).alias("top"), F.avg((F.col("excursion") >= high).cast("double")).alias("bottom")).first()
+    (wanted,) = quantiles(excursions, "excursion", [1 - target_rate])
+    if wanted is None or not r["bottom"] <= target_rate <= r["top"]:
         return {"error": f"the target rate {target_rate} is outside what thresholds from {low} to {high} give", "rate_low": r["top"], "rate_high": r["bottom"]}
-    value = min(max(r["q"], low), high)
+    value = min(max(wanted, low), high)
     return {"min_adverse": value, "toxic_rate": excursions.agg(F.avg((F.col("excursion") >= value).cast("double"))).first()[0]}

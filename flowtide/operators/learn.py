@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,9 +34,15 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: Sequence[str], kind:
         return fit_logistic(train, columns, label).score(test, out)
     if kind != "gbdt":
         raise ValueError(f"unknown kind: {kind!r}")
-    trees = GBTClassifier(labelCol=label, featuresCol="_features", maxDepth=3, maxIter=120, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=60, seed=0)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_features"), trees]).fit(train.withColumn(label, F.col(label).cast("double")))
-    return model.transform(test).withColumn(out, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+    return fit_trees(train, columns, label).transform(test).withColumn(out, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+
+
+def fit_trees(train: DataFrame, columns: Sequence[str], label: str = "label", trees: int = 120) -> PipelineModel:
+    """Gradient-boosted trees on the columns as they are. Rows with missing inputs are scored, to the right of every split
+    on them, but not fitted on."""
+    boosted = GBTClassifier(labelCol=label, featuresCol="_features", maxDepth=3, maxIter=trees, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=60, seed=0)
+    assembler = VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep")
+    return Pipeline(stages=[assembler, boosted]).fit(train.dropna(subset=list(columns)).withColumn(label, F.col(label).cast("double")))
 
 
 def calibrate(scored: DataFrame, score: str = "score", label: str = "label") -> LinearModel:

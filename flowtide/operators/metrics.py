@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 
 #: Bins of scores in [0, 1]; what lies outside goes to the first or last.
 SCORE_BINS = 65_536
@@ -72,9 +73,10 @@ def evaluate(scored: DataFrame, score: str = "score", label: str = "label", weig
 
 def quantile_bins(df: DataFrame, column: str, bins: int, out: str = "bin") -> DataFrame:
     """``df`` with the column's quantile bin, from 0: linear quantile edges, equal edges merged, bins closed on the right."""
-    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("_edges"))
-    at = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(column))) - 1, F.lit(0))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(column).isNotNull(), at)).drop("_edges")
+    found = quantiles(df, column, [i / bins for i in range(bins + 1)])
+    edges = F.lit(sorted({e for e in found if e is not None})).cast("array<double>")
+    at = F.greatest(F.size(F.filter(edges, lambda e: e < F.col(column))) - 1, F.lit(0))
+    return df.withColumn(out, F.when(F.col(column).isNotNull(), at))
 
 
 def reliability(scored: DataFrame, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:

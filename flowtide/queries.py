@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import norm_cdf_sql, session_label
-from .operators import cleaning, features, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, vpin
+from .operators import cleaning, export, features, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, vpin
 from .plans.scratch import scratch_path, written
 from .plans.series import DAY_NS, seconds
 from .sources import fixtures, synthetic
@@ -25,9 +27,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+#: The prepared series of the query that is being built: all that it reads of ticks and fills is this one table.
+_prepared: dict[str, DataFrame] = {}
+
+
+def query(sql: str | None = None, prepared: bool = False) -> Callable:
+    """Registers a query; ``prepared`` ones read ticks and fills so often that their series is written first."""
+
     def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _prepared.clear()
+            if prepared:
+                _prepared[sf_dir] = written(fixtures.points(spark, sf_dir), "points")
+            try:
+                return f(spark, sf_dir)
+            finally:
+                _prepared.clear()
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLE[f.__name__] = sql
         return f
@@ -44,12 +62,16 @@ def r(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0::DOUBLE"
 
 
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared[sf_dir] if sf_dir in _prepared else fixtures.points(spark, sf_dir)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.ticks(spark, sf_dir)
+    return fixtures.ticks(_points(spark, sf_dir))
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.fills(spark, sf_dir)
+    return fixtures.fills(_points(spark, sf_dir))
 
 
 # Cleaning
@@ -322,12 +344,12 @@ def _history(frame: str) -> str:
 SELECT fill_id, cast(coalesce(n0, 0) AS BIGINT) AS cp_fill_count, {r('(coalesce(b0, 0) + 2.5) / (coalesce(n0, 0) + 5.0)')} AS cp_toxic_rate_hist FROM known"""
 
 
-@query(_history("ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"))
+@query(_history("ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"), prepared=True)
 def cp_history(spark, sf_dir):
     return rounded(features.counterparty_history(labelled(spark, sf_dir)).select("fill_id", "cp_fill_count", "cp_toxic_rate_hist"))
 
 
-@query(_history(f"ORDER BY ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {seconds(H)} PRECEDING"))
+@query(_history(f"ORDER BY ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {seconds(H)} PRECEDING"), prepared=True)
 def cp_history_delayed(spark, sf_dir):
     return rounded(features.counterparty_history(labelled(spark, sf_dir), H).select("fill_id", "cp_fill_count", "cp_toxic_rate_hist"))
 
@@ -422,7 +444,7 @@ SELECT n::BIGINT AS n, {r('base_rate')} AS base_rate,
   CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('ll')} END AS log_loss,
   CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('base_rate * (1 - base_rate)')} END AS brier_baseline,
   CASE WHEN base_rate > 0 AND base_rate < 1 THEN {r('1 - brier / (base_rate * (1 - base_rate))')} END AS brier_skill
-FROM m""")
+FROM m""", prepared=True)
 def evaluation(spark, sf_dir):
     return rounded(metrics.evaluate(scored(spark, sf_dir)))
 
@@ -459,7 +481,7 @@ def gate_sweep(spark, sf_dir):
     return rounded(metrics.gate_sweep(scored(spark, sf_dir), "score", "pnl", _CUTS, 1e-5))
 
 
-@query()
+@query(prepared=True)
 def holdout_scores(spark, sf_dir):
     """evaluation's values, with bounds from 300 draws of hours."""
     d = scored(spark, sf_dir).withColumn("hour", holdout.hour_blocks())
@@ -478,7 +500,7 @@ def gate_points(spark, sf_dir):
     return d.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("threshold", "blocked_share", "pnl_ungated", "pnl_gated", "uplift")], *means)
 
 
-@query()
+@query(prepared=True)
 def gate_scores(spark, sf_dir):
     """gate_points' values, with bounds of the uplift from 300 draws of hours."""
     return rounded(holdout.gate_scores(scored(spark, sf_dir).withColumn("hour", holdout.hour_blocks()), 0.505, "hour"))
@@ -549,6 +571,23 @@ def logreg_scores(spark, sf_dir):
     return out.select("fill_id", "fold", "label", "score")
 
 
+@query(prepared=True)
+def tree_scores(spark, sf_dir):
+    """Probabilities of boosted trees by their exported nodes, and how far they are from the fitted model's own."""
+    known = labelled(spark, sf_dir).select("fill_id", "label").where("label >= 0")
+    columns = ["spread", "obi", "rv_short", "vol_short", "dt_last_tick", "size_rel_vol"]
+    data = written(featured(spark, sf_dir).select("fill_id", *columns).join(known, "fill_id"), "examples")
+    fitted = learn.fit_trees(data, columns, trees=20)
+    own = fitted.transform(data).withColumn("own", vector_to_array("probability")[1])
+    scored_rows = export.exported(fitted).score(own, "score")
+    return scored_rows.select("fill_id", "label", "score", F.abs(F.col("score") - F.col("own")).alias("apart"))
+
+
+@query()
+def suggested_labels(spark, sf_dir):
+    return rounded(labels.suggested_labels(fills(spark, sf_dir), ticks(spark, sf_dir), H, slice_ns=SLICE), 9)
+
+
 @query()
 def stream_vpin(spark, sf_dir):
     """The realtime engine over the ticks as a file stream; one row a closed bucket."""
@@ -578,7 +617,7 @@ def in_order(df: DataFrame, by: list[str], path: str, files: int = 6) -> None:
         parts.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
 
 
-@query(_FEATURES)
+@query(_FEATURES, prepared=True)
 def stream_features(spark, sf_dir):
     """features_core's rows, from live features over a stream of ticks and fills."""
     base = scratch_path(spark, "stream")
@@ -590,7 +629,7 @@ def stream_features(spark, sf_dir):
     return d.select("fill_id", *[(F.round(c, 9 if c in nine else 6) + F.lit(0.0)).alias(c) for c in features.CORE])
 
 
-@query(_history(f"ORDER BY ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {seconds(H)} PRECEDING"))
+@query(_history(f"ORDER BY ts_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {seconds(H)} PRECEDING"), prepared=True)
 def stream_cp_history(spark, sf_dir):
     """cp_history_delayed's rows, from live history over a stream of fills and of their labels an hour later."""
     base = scratch_path(spark, "stream")

@@ -14,7 +14,8 @@ from ..plans.series import prefix_sum
 BUCKET_VOLUME = 20_000.0
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a walk of whole points, which ticks and fills are made of."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("event_id").alias("seq"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
@@ -27,9 +28,8 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_sum(e, step, "walk").withColumn("mid_pts", F.col("walk") + 1_100_000).withColumn("half_pts", 40 + F.pmod("cents", F.lit(20)))
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ticks(p: DataFrame) -> DataFrame:
     """seq, ts_ns, bid, ask, mid, spread, volume, bid_size, ask_size, mid_pts."""
-    p = _points(spark, sf_dir)
     return p.select(
         "seq",
         "ts_ns",
@@ -44,9 +44,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fills(p: DataFrame) -> DataFrame:
     """fill_id, seq, ts_ns, sign, price, size, counterparty_id."""
-    p = _points(spark, sf_dir).where(F.col("event_type").isin("purchase", "error"))
+    p = p.where(F.col("event_type").isin("purchase", "error"))
     sign = F.when(F.col("seq") % 2 == 0, 1).otherwise(-1)
     return p.select(
         F.col("seq").alias("fill_id"),
