@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 # Coefficients of a published rational approximation of erfc (Cody 1969), three ranges.
 _SMALL_P = (3.1611237438705656, 113.864154151050156, 377.485237685302021, 3209.37758913846947, 0.185777706184603153)
 _SMALL_Q = (23.6012909523441209, 244.024637934444173, 1282.61652607737228, 2844.23683343917062)
@@ -82,6 +84,8 @@ def student_t_cdf_array(t: np.ndarray, df: float) -> np.ndarray:
 
 def student_t_cdf(t: Column, df: float) -> Column:
     """Student's t distribution function with a fixed df, vectorised over Arrow batches."""
+    if (session := SparkSession.getActiveSession()) is not None:
+        ship(session)
 
     @F.pandas_udf("double")
     def cdf(x: pd.Series) -> pd.Series:
@@ -91,18 +95,19 @@ def student_t_cdf(t: Column, df: float) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """norm_cdf(z) and student_t_cdf(t, df) for SQL users."""
+    """norm_cdf(z) and student_t_cdf(t, df) for SQL users; the first is an expression that the JVM evaluates."""
+    ship(spark)
 
     @F.pandas_udf("double")
     def t_cdf(x: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([float(student_t_cdf_array(np.array([a]), b)[0]) for a, b in zip(x, df, strict=True)])
-
-    @F.pandas_udf("double")
-    def n_cdf(x: pd.Series) -> pd.Series:
-        return x.map(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
+        out = np.full(len(x), np.nan)
+        for value in df.dropna().unique():
+            rows = (df == value) & x.notna()
+            out[rows] = student_t_cdf_array(x[rows].to_numpy(np.float64), float(value))
+        return pd.Series(out)
 
     spark.udf.register("student_t_cdf", t_cdf)
-    spark.udf.register("norm_cdf", n_cdf)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION norm_cdf(z DOUBLE) RETURNS DOUBLE RETURN {norm_cdf_sql('z')}")
 
 
 def sigmoid(x: Column) -> Column:

@@ -593,12 +593,12 @@ def stream_vpin(spark, sf_dir):
     """The realtime engine over the ticks as a file stream; one row a closed bucket."""
     base = scratch_path(spark, "stream")
     t = ticks(spark, sf_dir).withColumn("symbol", F.lit("EURUSD"))
-    t.repartitionByRange(4, "ts_ns", "seq").write.parquet(f"{base}/in")
+    in_order(t, ["ts_ns", "seq"], f"{base}/in", 4)
     return streamed(engine.stream(file_stream(spark, t, f"{base}/in"), engine.Settings(BUCKET_VOLUME, window=10)), base)
 
 
 def file_stream(spark: SparkSession, like: DataFrame, path: str, files: int = 1) -> DataFrame:
-    """The files of a folder as a stream, in the order of their names when written at once, so many a trigger."""
+    """The files of a folder as a stream, the oldest first, so many a trigger."""
     return spark.readStream.schema(like.schema).option("latestFirst", "false").option("maxFilesPerTrigger", files).parquet(path)
 
 

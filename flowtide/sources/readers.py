@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions.special import point_value, side_sign
 
 # Time formats and column names of the providers' files.
@@ -140,6 +141,7 @@ def read_hour_files(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     A record is big-endian: milliseconds into the hour, ask and bid in points, volumes of both in millions. Empty files
     are hours without ticks.
     """
+    ship(spark)
     scale = point_value(symbol)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -38,3 +38,16 @@ def test_sides_sessions_and_points(spark):
 def test_sigmoid_does_not_overflow(spark):
     got = spark.createDataFrame([(0.0,), (800.0,), (-800.0,)], "x double").select(special.sigmoid(F.col("x"))).collect()
     assert [r[0] for r in got] == [0.5, 1.0, 0.0]
+
+
+def test_functions_for_sql(spark):
+    import math
+
+    special.register(spark)
+    rows = spark.sql("SELECT z, norm_cdf(z) AS n, student_t_cdf(z, df) AS t FROM VALUES (-2.0D, 1.0D), (0.5D, 1.0D), (0.5D, NULL), (NULL, 3.0D) AS v(z, df)").collect()
+    assert [r.n is None for r in rows] == [False, False, False, True]
+    for r in rows[:3]:
+        assert abs(r.n - 0.5 * math.erfc(-r.z / math.sqrt(2))) < 1e-12
+    # With one degree of freedom the distribution is Cauchy's.
+    assert all(abs(r.t - (0.5 + math.atan(r.z) / math.pi)) < 1e-9 for r in rows[:2])
+    assert all(r.t is None or math.isnan(r.t) for r in rows[2:])
