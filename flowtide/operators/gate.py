@@ -105,8 +105,27 @@ def summary(gated: DataFrame, proba: str = "proba") -> DataFrame:
     return d.select("action", "n", (F.col("n") / F.col("_n")).alias("share"), "mean_proba", "mean_multiplier", "mean_spread", (1000 * F.col("_c") / F.col("_n")).alias("changes_per_1k"))
 
 
+def _share(p: Column) -> Column:
+    """Cut to [0, 1]; missing stays missing."""
+    return F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+
+
+def gated_signals(rows: DataFrame, signal: str, proba: str, threshold: float = 0.5, method: str = "linear", dust: float = 0.0) -> DataFrame:
+    """``rows`` with toxicity_proba (cut to [0, 1]), act, size_multiplier and gated_signal, the signal times its size.
+
+    A missing probability does not act: its size and signal are 0, act is false.
+    """
+    kept = [c for c in rows.columns if c not in ("toxicity_proba", "act", "size_multiplier", "gated_signal")]
+    p = F.nanvl(F.col(proba).cast("double"), F.lit(None).cast("double"))
+    d = rows.select(*kept, _share(p).alias("toxicity_proba"), meta_label(p, threshold, method, dust).alias("_m"))
+    known = F.col("toxicity_proba").isNotNull()
+    act, size = known & F.coalesce(F.col("_m.act"), F.lit(False)), F.when(known, F.col("_m.size")).otherwise(0.0)
+    return d.withColumns({"act": act, "size_multiplier": size, "gated_signal": F.col(signal) * size}).drop("_m")
+
+
 def meta_label(proba: Column, threshold: float = 0.5, method: str = "linear", dust: float = 0.0) -> Column:
     """Struct of act (p below the threshold) and size (multiplier in [0, 1]; 0 below ``dust``)."""
+    proba = _share(proba)
     act = proba < threshold
     size = {"linear": 1 - proba / threshold, "kelly": 1 - 2 * proba, "binary": F.lit(1.0)}
     if method not in size:

@@ -137,6 +137,15 @@ def alpha_drift(history: DataFrame, value: str = "alpha_mu", order: str = "t", w
     return d.withColumn("drifted", F.coalesce(F.abs("zscore") > z, F.lit(False)))
 
 
+def drift_report(scored: DataFrame, reference: dict | None = None, score: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
+    """One row: evaluate()'s values, max_calibration_error over the bins of reliability(), and for each of auc, brier and
+    brier_skill that ``reference`` holds the difference to it, delta_auc and so on."""
+    known = scored.where(F.col(label).isin(0, 1))
+    worst = reliability(known, score, label, bins).agg(F.max("calibration_error").alias("max_calibration_error"))
+    row = evaluate(known, score, label).crossJoin(worst)  # a row each
+    return row.withColumns({f"delta_{k}": F.col(k) - v for k, v in (reference or {}).items() if k in ("auc", "brier", "brier_skill")})
+
+
 def should_retrain(folds: DataFrame, auc_floor: float = 0.55, skill_floor: float = 0.02, lookback: int = 3) -> dict:
     """Whether the last folds' mean auc or Brier skill is below its floor; without folds, yes."""
     recent = folds.orderBy(F.desc("fold")).limit(lookback).agg(F.avg("auc").alias("auc"), F.avg("brier_skill").alias("skill"), F.count("*").alias("n")).first()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import norm_cdf_sql, session_label
-from .operators import cleaning, export, features, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, vpin
+from .operators import cleaning, export, features, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, validation, vpin
 from .plans.scratch import scratch_path, written
 from .plans.series import DAY_NS, seconds
 from .sources import fixtures, synthetic
@@ -511,6 +511,27 @@ def meta_gate(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("fill_id", F.inline(F.array(gate.meta_label(F.col("score"), 0.505)))).select("fill_id", "act", "size"))
 
 
+@query(
+    _SCORED
+    + f""", s AS (SELECT fill_id, fill_id % 3 - 1 AS signal, least(greatest(score * 1.4 - 0.2, 0), 1) AS p FROM scored),
+m AS (SELECT *, p < 0.505 AS act, CASE WHEN p < 0.505 THEN 1 - p / 0.505 ELSE 0 END AS m FROM s), z AS (SELECT *, CASE WHEN m >= 0.1 THEN m ELSE 0 END AS size FROM m)
+SELECT fill_id, {r('p')} AS toxicity_proba, act, {r('size')} AS size_multiplier, {r('signal * size')} AS gated_signal FROM z"""
+)
+def gated_signals(spark, sf_dir):
+    d = scored(spark, sf_dir).select("fill_id", (F.pmod("fill_id", F.lit(3)) - 1).alias("signal"), (F.col("score") * 1.4 - 0.2).alias("p"))
+    return rounded(gate.gated_signals(d, "signal", "p", 0.505, dust=0.1).select("fill_id", "toxicity_proba", "act", "size_multiplier", "gated_signal"))
+
+
+@query()
+def drift_report(spark, sf_dir):
+    return rounded(metrics.drift_report(scored(spark, sf_dir), {"auc": 0.5, "brier": 0.25}))
+
+
+@query()
+def analytic_properties(spark, sf_dir):
+    return validation.analytic_properties(ticks(spark, sf_dir), BUCKET_VOLUME, slice_ns=SLICE)
+
+
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scored(spark, sf_dir).select("fill_id", "seq", "ts_ns", "counterparty_id", F.col("score").alias("proba"), F.lit(1e-4).alias("base_spread"))
     return gate.simulate(d, "counterparty_id", gate.GateConfig(min_dwell_seconds=7200.0, alpha_mu=1e-4))

@@ -182,3 +182,9 @@ def write_ticks_csv(ticks: DataFrame, path: str, engine: bool = False) -> None:
 def write_blotter_csv(fills: DataFrame, path: str) -> None:
     d = fills.select(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")).alias("timestamp"), F.when(F.col("sign") > 0, "buy").otherwise("sell").alias("side"), "price", "size", "counterparty_id")
     d.sort("timestamp").write.csv(path, header=True)
+
+
+def write_counterparties_csv(table: DataFrame, path: str) -> None:
+    """counterparty_id, code, toxic, total in one file, as read_counterparties() and the live history's seeds take it."""
+    # One row a counterparty.
+    table.select("counterparty_id", "code", "toxic", "total").orderBy("code").coalesce(1).write.csv(path, header=True)
