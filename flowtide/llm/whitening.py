@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed_row, unpacked, written
+from .common import packed_row, partitions, unpacked, written
 
 #: Entries become floor(SCALE * c) + OFFSET.
 SCALE = 1024
@@ -175,7 +175,8 @@ def _merge_batches(dims: int):
 
 def _merged(states: DataFrame, dims: int) -> Moments | None:
     """All states in one: merged in tasks until MERGERS are left, then here."""
-    fewer = states.repartition(MERGERS * MERGERS).mapInArrow(_merge_batches(dims), _STATE)
+    first = min(MERGERS * MERGERS, partitions(states.sparkSession))
+    fewer = states.repartition(first).mapInArrow(_merge_batches(dims), _STATE)
     few = written(fewer.repartition(MERGERS).mapInArrow(_merge_batches(dims), _STATE), "moments")
     total = Moments.zero(dims)
     for row in few.collect():
