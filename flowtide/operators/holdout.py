@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
+from ..plans.scratch import written
 from .metrics import evaluate
 
 HOUR_NS = 3_600_000_000_000
@@ -129,7 +130,8 @@ def holdout_scores(scored: DataFrame, block: str, score: str = "score", label: s
 
     Rows without a score or with another label than 0 and 1 count for nothing. A null block counts as -1.
     """
-    d = scored.where(~F.isnan(score)).withColumn("_block", F.coalesce(F.col(block), F.lit(-1)))
+    named = scored.where(~F.isnan(score)).select(F.coalesce(F.col(block), F.lit(-1)).alias("_block"), score, label)
+    d = written(named, "scored")
     return evaluate(d, score, label).select("*", *_bounds(intervals(bootstrap_ranks(d, "_block", score, label, draws, seed), ["auc", "brier_skill"])))
 
 
@@ -168,6 +170,7 @@ def gate_scores(scored: DataFrame, threshold: float, block: str, score: str = "s
     """gate_points() and the bounds of the uplift, uplift_low and uplift_high, from sums by block."""
     value = F.col("_x")
     sums = {"total": value, "blocked": F.when(F.col("_p") >= threshold, value).otherwise(0.0)}
-    held = _decided(scored, score, pnl).withColumn("_block", F.coalesce(F.col(block), F.lit(-1)))
+    scored = written(scored.select(F.coalesce(F.col(block), F.lit(-1)).alias("_block"), score, pnl), "scored")
+    held = _decided(scored, score, pnl)
     drawn = bootstrap_sums(held, "_block", sums, draws, seed).select(uplift(F.col("total"), F.col("blocked")).alias("uplift"))
     return gate_points(scored, threshold, score, pnl).select("*", *_bounds(intervals(drawn, ["uplift"])))
