@@ -74,9 +74,10 @@ def cross_validate(data: DataFrame, splits: DataFrame, columns: Sequence[str], k
 
 
 def forward_select(data: DataFrame, splits: DataFrame, columns: Sequence[str], most: int = 8, gain: float = 0.002, floor: float = 0.0, metric: str = "brier_skill", **options) -> list[str]:
-    """Adds the column that raises the mean fold metric most, until that is less than ``gain`` or there are ``most``."""
+    """Adds the column with the best mean fold metric until that is below ``floor`` or less than ``gain`` above the last
+    (the first column needs the floor alone). For logistic models folds.forward_select does this in a few scans."""
     chosen: list[str] = []
-    best = floor
+    best = None
     while len(chosen) < most:
         tried = {}
         for c in columns:
@@ -87,7 +88,7 @@ def forward_select(data: DataFrame, splits: DataFrame, columns: Sequence[str], m
         if not tried:
             break
         c = max(sorted(tried), key=lambda x: tried[x])
-        if tried[c] < best + gain:
+        if tried[c] < floor or (best is not None and tried[c] - best < gain):
             break
         chosen.append(c)
         best = tried[c]

@@ -14,42 +14,44 @@ from .quantiles import quantiles
 SCORE_BINS = 65_536
 
 
-def tied_counts(scored: DataFrame, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
+def tied_counts(scored: DataFrame, score: str = "score", label: str = "label", weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row for each distinct score: n and pos (weighted), both summed over all lower scores, and both over all.
 
     Windows run within a bin of scores; a table of one row a bin (SCORE_BINS at most) carries the sums of lower bins.
+    ``by`` keeps groups of rows apart; null values in these columns are left out.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     known = scored.where(F.col(score).isNotNull() & F.col(label).isin(0, 1))
-    per = known.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("pos"))
+    per = known.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum(w).alias("n"), F.sum(w * F.col(label)).alias("pos"))
     spot = F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(1.0)) * SCORE_BINS
     per = per.withColumn("bin", F.floor(spot).cast("int"))
-    lower, everything = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    bins = per.groupBy("bin").agg(F.sum("n").alias("bin_n"), F.sum("pos").alias("bin_pos"))
+    lower, everything = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    bins = per.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n"), F.sum("pos").alias("bin_pos"))
     bins = bins.select(
+        *by,
         "bin",
         F.coalesce(F.sum("bin_n").over(lower), F.lit(0.0)).alias("before_n"),
         F.coalesce(F.sum("bin_pos").over(lower), F.lit(0.0)).alias("before_pos"),
         F.sum("bin_n").over(everything).alias("all_n"),
         F.sum("bin_pos").over(everything).alias("all_pos"),
     )
-    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = {f"{c}_below": F.col(f"before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c in ("n", "pos")}
-    return per.join(F.broadcast(bins), "bin").withColumns(below).select("s", "n", "pos", "n_below", "pos_below", "all_n", "all_pos")
+    return per.join(bins if by else F.broadcast(bins), [*by, "bin"]).withColumns(below).select(*by, "s", "n", "pos", "n_below", "pos_below", "all_n", "all_pos")
 
 
-def evaluate(scored: DataFrame, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
-    """One row: n, base_rate, auc, avg_precision, brier, log_loss, brier_baseline, brier_skill.
+def evaluate(scored: DataFrame, score: str = "score", label: str = "label", weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row (with ``by``, one for each group): n, base_rate, auc, avg_precision, brier, log_loss, brier_baseline, brier_skill.
 
     Ties share their rank in auc and their threshold in avg_precision. With one class alone all but n and base_rate are
     null. n is a count (long) unless rows are weighted.
     """
-    t = tied_counts(scored, score, label, weight)
+    t = tied_counts(scored, score, label, weight, by)
     neg, neg_below = F.col("n") - F.col("pos"), F.col("n_below") - F.col("pos_below")
     at_least_pos, at_least = F.col("all_pos") - F.col("pos_below"), F.col("all_n") - F.col("n_below")
     p = F.least(F.greatest(F.col("s"), F.lit(1e-9)), F.lit(1 - 1e-9))
     square = F.col("pos") * (F.col("s") - 1) * (F.col("s") - 1) + neg * F.col("s") * F.col("s")
-    d = t.agg(
+    d = t.groupBy(*by).agg(
         F.coalesce(F.max("all_n"), F.lit(0.0)).alias("n"),
         F.max(F.col("all_pos") / F.col("all_n")).alias("base_rate"),
         F.sum(F.col("pos") * (neg_below + neg / 2)).alias("_won"),
@@ -68,7 +70,7 @@ def evaluate(scored: DataFrame, score: str = "score", label: str = "label", weig
         "brier_skill": 1 - F.col("_brier") / base,
     }
     n = F.col("n") if weight else F.col("n").cast("long")
-    return d.select(n.alias("n"), "base_rate", *[F.when(F.col("_pairs") > 0, v).alias(k) for k, v in values.items()])
+    return d.select(*by, n.alias("n"), "base_rate", *[F.when(F.col("_pairs") > 0, v).alias(k) for k, v in values.items()])
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, out: str = "bin") -> DataFrame:

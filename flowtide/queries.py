@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.special import norm_cdf_sql, session_label
-from .operators import cleaning, export, features, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, validation, vpin
+from .operators import cleaning, export, features, folds, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, validation, vpin
 from .plans.scratch import scratch_path, written
 from .plans.series import DAY_NS, seconds
 from .sources import fixtures, synthetic
@@ -408,10 +408,13 @@ def kfold_purged(spark, sf_dir):
     return splits.purged_kfold(fills(spark, sf_dir), H).select("fold", "role", "fill_id")
 
 
-@query(_EVENTS + f""", plan AS (SELECT k AS fold, first + k * size AS lo, first + (k + 1) * size AS hi FROM (SELECT cast(floor(n * 0.4::DOUBLE) AS BIGINT) AS first, (n - cast(floor(n * 0.4::DOUBLE) AS BIGINT)) // 5 AS size FROM span), range(5) t(k)),
+_WALK = _EVENTS + f""", plan AS (SELECT k AS fold, first + k * size AS lo, first + (k + 1) * size AS hi FROM (SELECT cast(floor(n * 0.4::DOUBLE) AS BIGINT) AS first, (n - cast(floor(n * 0.4::DOUBLE) AS BIGINT)) // 5 AS size FROM span), range(5) t(k)),
 starts AS (SELECT plan.*, ts_ns AS start FROM plan JOIN ev ON ev.i = lo),
 roles AS (SELECT cast(fold AS INT) AS fold, CASE WHEN i >= lo AND i < hi THEN 'test' WHEN i < lo AND ts_ns + {seconds(H)} <= start - gap THEN 'train' END AS role, fill_id FROM ev, starts, span)
-SELECT fold, role, fill_id FROM roles WHERE role IS NOT NULL""")
+SELECT fold, role, fill_id FROM roles WHERE role IS NOT NULL"""
+
+
+@query(_WALK)
 def walk_forward(spark, sf_dir):
     return splits.walk_forward(fills(spark, sf_dir), H).select("fold", "role", "fill_id")
 
@@ -581,15 +584,67 @@ def lp_pickoffs(spark, sf_dir):
     return rounded(synthetic.pickoffs(ticks(spark, sf_dir), refresh_ticks=50, slice_ns=SLICE))
 
 
-@query()
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features_core with label and ts_ns, of fills whose label is known."""
+    known = labelled(spark, sf_dir).select("fill_id", "ts_ns", "label").where("label >= 0")
+    return features_core(spark, sf_dir).join(known, "fill_id")
+
+
+@query(prepared=True)
 def logreg_scores(spark, sf_dir):
     """Out-of-fold scores of a logistic model on purged folds."""
     f = fills(spark, sf_dir)
     data = features.build_features(labelled(spark, sf_dir).drop("price").join(f.select("fill_id", "price"), "fill_id"), ticks(spark, sf_dir), None, SHORT, LONG, H, slice_ns=SLICE)
     columns = ["obi", "micro_dev", "vol_short", "cp_toxic_rate_hist"]
-    data = features.select_matrix(data, columns).select("fill_id", "label", *columns).cache()
-    out, _ = learn.cross_validate(data, splits.purged_kfold(f, H, 3), columns)
-    return out.select("fill_id", "fold", "label", "score")
+    found = folds.fit(features.select_matrix(data, columns), splits.purged_kfold(f, H, 3), [columns], every=False)
+    return found.scores().select(F.col("key").alias("fill_id"), "fold", "label", "score")
+
+
+_ALL_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in features.CORE)
+
+
+@query(
+    f"""WITH RECURSIVE feats AS ({_FEATURES}), lab AS ({_TRIPLE} SELECT fill_id, label FROM labelled), roles AS ({_WALK}),
+kept AS (SELECT feats.*, label FROM feats JOIN lab USING (fill_id) WHERE label >= 0 AND {_ALL_KNOWN}),
+long AS (SELECT fill_id, label, feature, v FROM kept UNPIVOT (v FOR feature IN ({', '.join(features.CORE)}))),
+used AS (SELECT fold, role, feature, label AS y, v FROM long JOIN roles USING (fill_id)),
+scale AS (SELECT fold, feature, avg(v) AS m, stddev_pop(v) AS sd FROM used WHERE role = 'train' GROUP BY ALL HAVING min(y) < max(y)),
+z AS (SELECT fold, role, feature, y, (v - m) / CASE WHEN sd > 1e-15 * abs(m) THEN sd ELSE 1 END AS z FROM used JOIN scale USING (fold, feature)),
+newton AS (SELECT fold, feature, 0 AS it, 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM scale UNION ALL
+  SELECT fold, feature, it + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT fold, feature, any_value(it) AS it, any_value(b0) AS b0, any_value(b1) AS b1, sum(p - y) AS g0, sum((p - y) * z) + any_value(b1) AS g1,
+      sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z) AS h01, sum(p * (1 - p) * z * z) + 1 AS h11
+    FROM (SELECT n.*, z.z, z.y, 1 / (1 + exp(-(n.b0 + n.b1 * z.z))) AS p FROM newton n JOIN z ON n.fold = z.fold AND n.feature = z.feature AND z.role = 'train' WHERE n.it < 12) GROUP BY fold, feature)),
+scored AS (SELECT z.fold, z.feature, z.y, 1 / (1 + exp(-(b0 + b1 * z.z))) AS p FROM z JOIN newton n ON n.fold = z.fold AND n.feature = z.feature AND n.it = 12 WHERE z.role = 'test'),
+ranked AS (SELECT *, rank() OVER (PARTITION BY fold, feature ORDER BY p) + (count(*) OVER (PARTITION BY fold, feature, p) - 1) / 2::DOUBLE AS rk FROM scored),
+per AS (SELECT fold, feature, (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2::DOUBLE) / (sum(y) * (count(*) - sum(y))) AS auc, 1 - avg((p - y) * (p - y)) / (avg(y) * (1 - avg(y))) AS skill FROM ranked GROUP BY ALL HAVING min(y) < max(y))
+SELECT feature, {r('avg(auc)')} AS auc, {r('avg(skill)')} AS brier_skill, {r('min(auc)')} AS auc_min FROM per GROUP BY 1""",
+    prepared=True,
+)
+def feature_scores(spark, sf_dir):
+    """Each feature alone, on walk-forward folds."""
+    return rounded(folds.univariate_scores(examples(spark, sf_dir), splits.walk_forward(fills(spark, sf_dir), H), features.CORE))
+
+
+@query(prepared=True)
+def selected_features(spark, sf_dir):
+    """Features chosen one after the other by the mean area under the curve, and that area after each."""
+    found = folds.forward_select(examples(spark, sf_dir), splits.walk_forward(fills(spark, sf_dir), H), features.CORE, metric="auc", floor=0.0, gain=0.0005)
+    return rounded(spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(found.history, 1)], "step int, feature string, auc double"))
+
+
+@query(prepared=True)
+def calibrated_scores(spark, sf_dir):
+    """Out-of-fold scores on walk-forward folds: three members a fold, each with a sigmoid fitted on rows it has not seen."""
+    found = folds.cross_validate(examples(spark, sf_dir), splits.walk_forward(fills(spark, sf_dir), H), list(features.CORE), calibrate=True, slice_ns=SLICE)
+    return rounded(found.scores, 9)
+
+
+@query(prepared=True)
+def fold_summary(spark, sf_dir):
+    """Mean, deviation and range of the folds' metrics."""
+    found = folds.cross_validate(examples(spark, sf_dir), splits.walk_forward(fills(spark, sf_dir), H), list(features.CORE))
+    return rounded(folds.summarize(found.folds))
 
 
 @query(prepared=True)
