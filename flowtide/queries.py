@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import report
 from .functions.special import norm_cdf_sql, session_label
 from .operators import cleaning, export, features, folds, gate, holdout, indicators, labels, learn, markouts, metrics, splits, stationarity, validation, vpin
 from .plans.scratch import scratch_path, written
@@ -647,6 +648,13 @@ def fold_summary(spark, sf_dir):
     return rounded(folds.summarize(found.folds))
 
 
+@query(prepared=True)
+def toxicity_report(spark, sf_dir):
+    """One call from ticks and fills to the verdict."""
+    settings = report.Settings(horizons=HORIZONS, label_horizon=H, bucket_volume=BUCKET_VOLUME, vpin_window=10, short_seconds=SHORT, long_seconds=LONG, slice_ns=SLICE)
+    return rounded(report.analyse(ticks(spark, sf_dir), fills(spark, sf_dir), settings).summary)
+
+
 @query(prepared=True)
 def tree_scores(spark, sf_dir):
     """Probabilities of boosted trees by their exported nodes, and how far they are from the fitted model's own."""
