@@ -67,15 +67,20 @@ FROM marked GROUP BY doc_id
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three commits: all documents inserted, every count revised by the end id that training adds to each
-    document, and that batch committed again as after a lost answer."""
+    """Totals after three commits: all documents inserted; every count raised by the end id that training adds to each
+    document, as a revision in one tokenizer version and as a delete and an insert in the other; and that batch
+    committed again as after a lost answer."""
     versions = {name: public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k")}
     counts = written(token_counts.count_tokens(documents(spark, sf_dir), versions, keep=["source", "lang"], literal=False), "token-counts")
     rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
     rollup.commit("load", counts.select("*", F.lit("insert").alias("kind"), F.lit(0).alias("old_tokens")))
-    revised = counts.withColumns({"kind": F.lit("revise"), "old_tokens": F.col("n_tokens"), "n_tokens": F.col("n_tokens") + 1})
+    new, old = F.col("n_tokens") + 1, F.col("n_tokens")
+    change = lambda kind, n, before: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), before.cast("long").alias("old_tokens"))
+    revision = F.array(change("revise", new, old))
+    replaced = F.array(change("delete", F.lit(None), old), change("insert", new, F.lit(None)))
+    changes = counts.select("source", "lang", "tokenizer", F.inline(F.when(F.col("tokenizer") == "byte_bpe_50k", revision).otherwise(replaced)))
     for _ in range(2):
-        rollup.commit("end-ids", revised)
+        rollup.commit("end-ids", changes.withColumnRenamed("n", "n_tokens"))
     return rollup.totals()
 
 

@@ -224,6 +224,40 @@ def test_token_counts_are_idempotent(spark, docs, empty, tmp_path):
     assert token_counts.count_tokens(empty, {"byte": BYTE}).count() == 0
 
 
+def test_a_commit_that_dies_leaves_the_last_sums(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    insert = spark.createDataFrame([("s", None, "t", n, 0) for n in (3, 4, 4)], "source string, lang string, tokenizer string, n_tokens long, old_tokens long").withColumn("kind", F.lit("insert"))
+    totals = lambda: [(r["source"], r["lang"], r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()]
+    rollup.commit("a", insert)
+    failing = insert.withColumn("n_tokens", F.raise_error(F.lit("executor lost")).cast("long"))
+    for batch in ("a", "b"):
+        with pytest.raises(Exception, match="executor lost"):
+            rollup.commit(batch, failing)
+        assert totals() == [("s", None, 3, 11)] and rollup.batches() == ["a"]
+    # What a driver that died would leave: files without the mark of a complete version.
+    (tmp_path / "rollup" / "batch=a" / "version-000000007-dead").mkdir()
+    before = rollup.totals()
+    for n in range(1, 4):
+        rollup.commit("a", insert.limit(n))
+        assert totals()[0][2] == n
+    assert before.columns == rollup.totals().columns
+    assert sum((p / "_SUCCESS").exists() for p in (tmp_path / "rollup" / "batch=a").iterdir()) == 2
+    rollup.commit("a", insert.limit(0))
+    assert totals() == []
+    rollup.commit("b", insert.withColumn("kind", F.lit("unknown")))
+    assert totals() == [] and rollup.batches() == ["a", "b"]
+
+
+def test_token_count_query_equals_direct_sums(spark, docs, tmp_path):
+    from flowtide.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    versions = {"byte_bpe_50k": BYTE, "word_bpe_49k": WORD}
+    direct = token_counts.count_tokens(docs, versions, literal=False).groupBy("source", "lang", "tokenizer").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+    assert got == {(r["source"], r["lang"], r["tokenizer"]): (r["n"], r["n"] + r["t"]) for r in direct.collect()}
+
+
 # Substrings
 
 
