@@ -619,7 +619,7 @@ newton AS (SELECT fold, feature, 0 AS it, 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM
 scored AS (SELECT z.fold, z.feature, z.y, 1 / (1 + exp(-(b0 + b1 * z.z))) AS p FROM z JOIN newton n ON n.fold = z.fold AND n.feature = z.feature AND n.it = 12 WHERE z.role = 'test'),
 ranked AS (SELECT *, rank() OVER (PARTITION BY fold, feature ORDER BY p) + (count(*) OVER (PARTITION BY fold, feature, p) - 1) / 2::DOUBLE AS rk FROM scored),
 per AS (SELECT fold, feature, (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2::DOUBLE) / (sum(y) * (count(*) - sum(y))) AS auc, 1 - avg((p - y) * (p - y)) / (avg(y) * (1 - avg(y))) AS skill FROM ranked GROUP BY ALL HAVING min(y) < max(y))
-SELECT feature, {r('avg(auc)')} AS auc, {r('avg(skill)')} AS brier_skill, {r('min(auc)')} AS auc_min FROM per GROUP BY 1""",
+SELECT feature, {r('avg(auc)')} AS auc, {r('avg(skill)')} AS brier_skill, {r('min(auc)')} AS auc_min FROM (SELECT unnest([{', '.join(f"'{c}'" for c in features.CORE)}]) AS feature) LEFT JOIN per USING (feature) GROUP BY 1""",
     prepared=True,
 )
 def feature_scores(spark, sf_dir):
