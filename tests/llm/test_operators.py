@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowtide.llm import encoders, fingerprints, jaccard, line_dedup, mixing, packing, quality, substrings, token_counts, token_store, toxicity
+from flowtide.llm import common, encoders, fingerprints, jaccard, line_dedup, mixing, packing, quality, substrings, token_counts, token_store, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -576,3 +576,21 @@ def test_pipeline_stages(spark, tmp_path, docs):
     for spans in used.values():
         spans.sort()
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 1024
+
+
+def test_batches_are_bounded_and_a_text_goes_to_python_once(spark):
+    rows = [(i, f"{i}" + "x" * (1 << 20)) for i in range(12)] + [(12, None), (13, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    done = common.add_columns(texts, "text", lambda column: [[column.buffers()[2].size] * len(column)], "batch_bytes long")
+    assert done.columns == ["doc_id", "text", "batch_bytes"]
+    found = done.collect()
+    assert sorted((r.doc_id, r.text) for r in found) == rows
+    assert max(r.batch_bytes for r in found) < common.BATCH_BYTES + (2 << 20)
+    assert ", c1, text#" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_that_is_no_string_passes_as_it_is(spark):
+    numbers = spark.createDataFrame([(1, 10), (2, None)], "doc_id long, text long")
+    done = common.add_columns(numbers, "text", lambda column: [column.to_pylist()], "seen string")
+    assert done.dtypes == [("doc_id", "bigint"), ("text", "bigint"), ("seen", "string")]
+    assert sorted(done.collect()) == [(1, 10, "10"), (2, None, None)]
