@@ -29,24 +29,32 @@ END_ID = 2
 #: Ids that the rolling hash sees; chunks end where one hash in MEAN says so, but hold LEAST to MOST ids.
 WINDOW, MEAN, LEAST, MOST = 4, 192, 48, 2048
 _DIGEST = 16
+#: Texts of about so many bytes are encoded together.
+ENCODED_BYTES = 4 << 20
 #: Ids of a file at most, but for the last document's.
 FILE_IDS = 1 << 24
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, by content alone."""
+def _hits(ids: np.ndarray) -> np.ndarray:
+    """Where windows end whose rolling hash says so, in ascending order."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
     wide = ids.astype(np.uint32)
     rolled = wide[: n - WINDOW + 1].copy()
     for k in range(1, WINDOW):
         rolled *= np.uint32(0x01000193)
         rolled += wide[k : n - WINDOW + 1 + k]
     # The top bits of a last product decide, as the low ones see the last id alone.
-    hit = (rolled * np.uint32(0x9E3779B1)) < np.uint32((1 << 32) // MEAN)
+    return np.flatnonzero((rolled * np.uint32(0x9E3779B1)) < np.uint32((1 << 32) // MEAN)) + WINDOW
+
+
+def _ends(hits: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids from the ends of the windows hit."""
+    if n <= LEAST:
+        return [n] if n else []
     ends, last = [], 0
-    for end in (np.flatnonzero(hit) + WINDOW).tolist():
+    for end in hits:
         while end - last > MOST:
             last += MOST
             ends.append(last)
@@ -59,6 +67,22 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*ends, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream, by content alone."""
+    return _ends(_hits(ids).tolist(), len(ids))
+
+
+def _cuts_of(streams: list[np.ndarray]) -> list[list[int]]:
+    """``cuts`` of each stream; all are hashed at once."""
+    if not streams:
+        return []
+    at = np.cumsum([0, *map(len, streams)])
+    hits = _hits(np.concatenate(streams))
+    # Windows that lie within the stream.
+    first, last = np.searchsorted(hits, at[:-1] + WINDOW), np.searchsorted(hits, at[1:], side="right")
+    return [_ends((hits[a:b] - start).tolist(), len(ids)) for a, b, start, ids in zip(first, last, at, streams)]
+
+
 def merkle_root(digests: list[bytes]) -> bytes:
     """The root of the binary tree over the digests; an odd one goes up as it is, no digests give the hash of nothing."""
     level = digests or [blake2b(b"", digest_size=_DIGEST).digest()]
@@ -67,8 +91,13 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def _digest(chunk: np.ndarray) -> bytes:
-    return blake2b(chunk.astype("<u4").tobytes(), digest_size=_DIGEST).digest()
+def _digests(ids: bytes, sizes: list[int]) -> list[bytes]:
+    """Digests of chunks of so many ids each; ``ids`` are little-endian unsigned 32-bit integers."""
+    view, out, at = memoryview(ids), [], 0
+    for size in sizes:
+        out.append(blake2b(view[at : at + 4 * size], digest_size=_DIGEST).digest())
+        at += 4 * size
+    return out
 
 
 def _file_roots(docs: DataFrame) -> DataFrame:
@@ -134,17 +163,18 @@ class TokenStore:
                 for part in slices(batch, "own"):
                     ids = []
                     for row in part.select(["digests", "sizes", "owned", "own", "borrowed", "root", "itemsize"]).to_pylist():
-                        kind = f"<u{row['itemsize']}"
                         other = {b["pos"]: b["chunk"] for b in row["borrowed"] or ()}
                         chunks, at = [], 0
                         for pos, (size, owned) in enumerate(zip(row["sizes"], row["owned"], strict=True)):
                             size *= row["itemsize"]
-                            chunks.append(np.frombuffer(row["own"][at : at + size] if owned else other[pos], kind))
+                            chunks.append(row["own"][at : at + size] if owned else other[pos])
                             at += size * owned
-                        digests = [_digest(c) for c in chunks]
+                            if len(chunks[-1]) != size:
+                                raise ValueError("a stored chunk is not as long as its recipe says")
+                        ids.append(np.frombuffer(b"".join(chunks), f"<u{row['itemsize']}").astype("<u4").tobytes())
+                        digests = _digests(ids[-1], row["sizes"])
                         if digests != row["digests"] or merkle_root(digests) != row["root"]:
                             raise ValueError("a stored chunk does not match its digest")
-                        ids.append(np.concatenate(chunks).astype("<u4").tobytes())
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
         # Only documents that borrow are shuffled.
@@ -180,17 +210,20 @@ def write_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(tokenizer, literal), None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 out: list[list] = [[], [], [], [], []]
+                docs, texts = [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if doc == last:
                         continue
                     last = doc
-                    ids = enc.array(text, end_id, kind)
-                    ends = cuts(ids)
-                    starts = [0, *ends[:-1]]
-                    digests = [_digest(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                    for column, value in zip(out, (doc, ids.tobytes(), digests, [b - a for a, b in zip(starts, ends, strict=True)], merkle_root(digests)), strict=True):
+                    docs.append(doc)
+                    texts.append(text)
+                streams = enc.arrays(texts, end_id, kind)
+                for doc, ids, ends in zip(docs, streams, _cuts_of(streams), strict=True):
+                    sizes = [b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                    digests = _digests(ids.astype("<u4").tobytes(), sizes)
+                    for column, value in zip(out, (doc, ids.tobytes(), digests, sizes, merkle_root(digests)), strict=True):
                         column.append(value)
                 types = [part.column(0).type, pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "ids", "digests", "sizes", "root"])

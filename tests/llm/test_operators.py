@@ -594,3 +594,31 @@ def test_a_text_that_is_no_string_passes_as_it_is(spark):
     done = common.add_columns(numbers, "text", lambda column: [column.to_pylist()], "seen string")
     assert done.dtypes == [("doc_id", "bigint"), ("text", "bigint"), ("seen", "string")]
     assert sorted(done.collect()) == [(1, 10, "10"), (2, None, None)]
+
+
+def test_texts_together_give_the_librarys_ids_and_encode_a_word_once(docs):
+    e = encoders.Encoder(WORD)
+    odd = ["don't 'tis ...'s _x_ 12a3", "ΣΑΣ É́ İx", "\x01a \x02b", " (a), [b]_;12.3  c\n", "", "  ", "日本語 😀", "a\tb"]
+    texts = [*odd, *(t or "" for t in texts_of(docs).values())]
+    for some in (texts, odd[3:6], [""], []):
+        assert [a.tolist() for a in e.arrays(some, 9, "<u2")] == [library_ids(WORD, t, 9) for t in some]
+    fast, seen = e.fast, []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            seen.append(len(text))
+            return fast.encode_ordinary(text)
+
+    e.fast = Counted()
+    assert len(e.arrays(["the same unchbess words, again"] * 1000, 9)) == 1000
+    assert sum(seen) < 100
+
+
+def test_chunks_of_streams_hashed_together():
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(0, 2000, n).astype("<u2") for n in (0, 1, 3, 4, 47, 48, 49, 50, 700, 9000, 2)]
+    assert token_store._cuts_of(streams) == [token_store.cuts(s) for s in streams]
+    for ids, ends in zip(streams[1:], token_store._cuts_of(streams[1:]), strict=True):
+        sizes = np.diff([0, *ends]).tolist()
+        want = [hashlib.blake2b(ids[a:b].astype("<u4").tobytes(), digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        assert token_store._digests(ids.astype("<u4").tobytes(), sizes) == want
