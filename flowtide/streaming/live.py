@@ -1,7 +1,7 @@
 """Live features and counterparty history: what the batch operators give, from state of bounded size.
 
-Both run as stateful processors, one state a key. Features keep the ticks of the long window; history keeps a count for
-each time at which labels become known, until the watermark passes it and a timer adds them to the totals.
+Both run as stateful processors, one state a key. Features keep the ticks of the long window; history keeps counts for
+each time at which labels become known, until the watermark has passed it and the next timer adds them to the totals.
 """
 
 from __future__ import annotations
@@ -178,6 +178,19 @@ def feature_stream(events: DataFrame, short_seconds: float = SHORT, long_seconds
     return out.select("symbol", "fill_id", "ts_ns", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in CORE])
 
 
+#: Timers of a key's batch, at most: each reads all counts that wait, so there are few, spread over the batch's labels.
+TIMERS = 8
+
+
+def _by_time(times: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """The distinct times in order, and the sums of the counts of each."""
+    distinct, place = np.unique(times, return_inverse=True)
+    sums = [np.zeros(len(distinct), np.int64) for _ in counts]
+    for s, c in zip(sums, counts):
+        np.add.at(s, place, c)
+    return [distinct, *sums]
+
+
 class _HistoryProcessor(StatefulProcessor):
     def __init__(self, rate: float, weight: float):
         self.rate, self.weight = rate, weight
@@ -185,32 +198,42 @@ class _HistoryProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.totals = handle.getValueState("totals", "toxic long, total long")
-        self.pending = handle.getMapState("pending", "known_ns long", "toxic long, total long")
+        self.pending = handle.getListState("pending", "known_ns long, toxic long, total long")
 
     def _totals(self) -> tuple[int, int]:
         return tuple(self.totals.get()) if self.totals.exists() else (0, 0)
 
+    def _waiting(self) -> list[np.ndarray]:
+        """The times at which labels become known, in order, and how many toxic and in all do then."""
+        kept = np.array([tuple(r) for r in self.pending.get()], np.int64).reshape(-1, 3)
+        return [kept[:, i].copy() for i in range(3)]
+
+    def _wait(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.pending.put(list(zip(*[c.tolist() for c in columns])))
+        else:
+            self.pending.clear()
+
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         toxic, total = self._totals()
         self.totals.update((toxic + int(initialState["toxic"].sum()), total + int(initialState["total"].sum())))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
-        waiting = {k[0]: v for k, v in self.pending.iterator()}
         labels = batch[(batch["kind"] == 1) & (batch["label"] >= 0)]
-        for known, group in labels.groupby("known_ns"):
-            known = int(known)
-            toxic, total = waiting.get(known, (0, 0))
-            waiting[known] = (toxic + int((group["label"] == 1).sum()), total + len(group))
-            self.pending.updateValue((known,), waiting[known])
+        times, toxic_at, total_at = self._waiting()
+        if len(labels):
+            new, place = np.unique(labels["known_ns"].to_numpy(np.int64), return_inverse=True)
+            bad = np.bincount(place, labels["label"].to_numpy() == 1, len(new)).astype(np.int64)
+            times, toxic_at, total_at = _by_time(np.concatenate((times, new)), np.concatenate((toxic_at, bad)), np.concatenate((total_at, np.bincount(place, minlength=len(new)))))
+            self._wait(times, toxic_at, total_at)
             # Whole milliseconds at or after that time: no fill before it is still to come when the timer fires.
-            self.handle.registerTimer(-(-known // 1_000_000))
+            for known in np.unique(new[np.linspace(0, len(new) - 1, TIMERS).astype(int)]).tolist():
+                self.handle.registerTimer(-(-known // 1_000_000))
         fills = batch[batch["kind"] == 0].sort_values(["ts_ns", "fill_id"])
         if len(fills):
             toxic, total = self._totals()
-            times = np.array(sorted(waiting), np.int64)
-            bad = np.concatenate(([0], np.cumsum([waiting[t][0] for t in times.tolist()])))
-            n = np.concatenate(([0], np.cumsum([waiting[t][1] for t in times.tolist()])))
+            bad, n = (np.concatenate(([0], np.cumsum(x))) for x in (toxic_at, total_at))
             at = fills["ts_ns"].to_numpy(np.int64)
             seen = np.searchsorted(times, at, "right")
             counts = total + n[seen]
@@ -226,12 +249,12 @@ class _HistoryProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = expiredTimerInfo.getExpiryTimeInMs() * 1_000_000
-        toxic, total = self._totals()
-        for k, v in list(self.pending.iterator()):
-            if k[0] <= until:
-                toxic, total = toxic + v[0], total + v[1]
-                self.pending.removeKey(k)
-        self.totals.update((toxic, total))
+        times, toxic_at, total_at = self._waiting()
+        over = times <= until
+        if over.any():
+            toxic, total = self._totals()
+            self.totals.update((toxic + int(toxic_at[over].sum()), total + int(total_at[over].sum())))
+            self._wait(times[~over], toxic_at[~over], total_at[~over])
         return iter([])
 
     def close(self) -> None:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,63 @@ def test_live_history_equals_batch(spark, tmp_path):
             n = w.cp_fill_count + total * mine
             bad = w.cp_toxic_rate_hist * (w.cp_fill_count + 5) - 2.5 + toxic * mine
             assert got[i].cp_fill_count == n and got[i].cp_toxic_rate_hist == pytest.approx((bad + 2.5) / (n + 5))
+
+
+class _Kept:
+    """A state variable that counts its calls."""
+
+    def __init__(self, calls):
+        self.value, self.calls = None, calls
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.value or []) if isinstance(self.value, list) or self.value is None else self.value
+
+    def put(self, value):
+        self.calls.append("put")
+        self.value = list(value)
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def getValueState(self, *_):
+        return _Kept(self.calls)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_live_history_asks_the_state_a_few_times_a_batch():
+    handle, processor = _Handle(), live._HistoryProcessor(0.5, 5.0)
+    processor.init(handle)
+    ts = np.arange(2000) * S
+    rows = pd.concat(
+        [
+            pd.DataFrame({"kind": 0, "fill_id": np.arange(2000), "ts_ns": ts, "label": -1, "known_ns": np.nan}),
+            pd.DataFrame({"kind": 1, "fill_id": np.arange(2000), "ts_ns": ts, "label": np.arange(2000) % 2, "known_ns": ts + 10 * S}),
+        ]
+    )
+    (out,) = processor.handleInputRows(("a",), iter([rows]), None)
+    assert out["cp_fill_count"].tolist() == [max(0, i - 9) for i in range(2000)]
+    assert len(handle.timers) <= live.TIMERS and len(handle.calls) < 10
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return max(handle.timers)
+
+    list(processor.handleExpiredTimer(("a",), None, Expired()))
+    assert processor._totals() == (1000, 2000) and not processor.pending.exists()
