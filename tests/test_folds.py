@@ -116,3 +116,10 @@ def test_nulls_one_class_folds_and_constant_columns(spark):
         folds.cross_validate(d, s.limit(0), ["a"])
     nothing = folds.cross_validate(d.limit(0), s, ["a"])
     assert nothing.model is None and nothing.scores.count() == 0
+
+
+def test_events_of_a_split_are_numbered_once(spark):
+    events = spark.range(60).select(F.col("id").alias("fill_id"), (F.col("id") * 1_000_000_000).alias("ts_ns"), F.col("id").alias("seq"))
+    plan = splits.walk_forward(events, 1.0, folds=3)
+    assert "Window" not in plan._jdf.queryExecution().toString()  # else each reader of the splits numbers all events again
+    assert plan.where("role = 'test'").count() == 36
